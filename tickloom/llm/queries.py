@@ -5,14 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import simhash
+from tickloom.llm import mixing, packing, sharding, simhash
 from tickloom.llm.common import table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.byte_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash}
+
+#: The targets by filling in order of size per weight, and the words that a stream cut at its target gives
+#: each document: whole rounds, and of the round that is cut what lies before the cut.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM t),
+w AS (SELECT *, CAST((sid - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS bound FROM r),
+f AS (SELECT *, coalesce(sum(bound) OVER (ORDER BY bound / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bound_before,
+    sum(weight) OVER (ORDER BY bound / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from, sum(source_size) OVER () AS total FROM w),
+h AS (SELECT *, (total - bound_before) / weight_from AS share, bound <= (total - bound_before) / weight_from * weight AS held FROM f),
+g AS (SELECT *, CASE WHEN held THEN bound ELSE least(bound, max(share) FILTER (NOT held) OVER () * weight) END AS target FROM h),
+p AS (SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(sum(d.size) OVER (PARTITION BY g.sid ORDER BY md5(concat(d.doc_id, '|17')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
+    CAST(floor(g.target) AS BIGINT) AS goal FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(begin + size, goal % source_size) - begin) END AS BIGINT) AS taken FROM p
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
