@@ -17,6 +17,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ TASK_PIECES = 50_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 40
+#: Units that one call of the tokenizer takes.
+UNITS = 4096
+#: ASCII punctuation of which a run is one unit. The apostrophe isn't among it, as it joins letters.
+PUNCTUATION = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 #: White space at which str.split() splits and which the tokenizer's own pattern may treat otherwise.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Local search stops when this many rounds over the underfull bins brought nothing.
@@ -44,42 +49,71 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 class WordEncoder:
     """Token ids of texts, by word. The tokenizer splits at white space before all else, so the ids of a
-    text are those of its words in order. A text with white space of other kinds is encoded whole."""
+    text are those of its words in order. A text with white space of other kinds is encoded whole.
+
+    A word of letters between ASCII punctuation is three units to the tokenizer, which end in tokens that
+    say so; so new words are encoded many at a time, by their letters, and cut at those tokens.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {"": b""}
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for s in range(0, len(units), UNITS):
+            part = units[s : s + UNITS]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [raw[x:y] for x, y in zip(at, at[1:])]
+            else:
+                out += self._encode_whole(part)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of all words into ``known``."""
+        known, units = self.known, self.units
+        split, odd = [], []
+        for w in new:
+            core = w.strip(PUNCTUATION)
+            if core.isalpha():
+                at = w.index(core)
+                split.append((w, w[:at], core.lower() if core.isascii() else core, w[at + len(core) :]))
+            else:
+                odd.append(w)
+        fresh = list({u for x in split for u in x[1:] if u not in units})
+        units.update(zip(fresh, self._encode_units(fresh)))
+        for w, before, core, after in split:
+            known[w] = units[before] + units[core] + units[after] if before or after else units[core]
+        known.update(zip(odd, self._encode_whole(odd)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [[t] if ODD_SPACE(t) else t.split() for t in (t or "" for t in texts)]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        found = dict(zip(new, self.encode_words(new))) if new else {}
-        for w, ids in found.items():
-            if len(known) >= CACHED_WORDS:
-                break
-            if len(w) <= CACHED_LENGTH:
-                known[w] = ids
-        ids_of = _Both(known, found) if found else known
-        return [b"".join(map(ids_of.__getitem__, words)) for words in split]
-
-
-class _Both(dict):
-    """The new words of a batch, and behind them the known ones."""
-
-    def __init__(self, known: dict[str, bytes], new: dict[str, bytes]) -> None:
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+        new = list({w for words in split for w in words}.difference(known))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(known) <= CACHED_WORDS and len(w) <= CACHED_LENGTH:
+                continue
+            del known[w]
+        if len(self.units) > CACHED_WORDS:  # the common ones came first
+            self.units = dict(islice(self.units.items(), CACHED_WORDS * 3 // 4))
+        return out
 
 
 def encoder(name: str = TOKENIZER) -> WordEncoder:
