@@ -7,8 +7,10 @@ executor and the driver can reach, so a lost executor costs a re-read and never
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
+_shipped = ""
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -53,8 +56,20 @@ def clear_scratch() -> None:
 atexit.register(clear_scratch)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts may hold in a Python worker."""
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark application."""
+    global _shipped
+    if _shipped != spark.sparkContext.applicationId:
+        root = Path(__file__).resolve().parent.parent
+        base = Path(tempfile.mkdtemp(prefix="tickloom-")) / "tickloom_package"
+        archive = shutil.make_archive(str(base), "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped = spark.sparkContext.applicationId
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound what one Arrow batch of long texts may hold in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, renamed
+from tickloom.llm.common import prepare, renamed
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 300
@@ -192,6 +192,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = EM_ROUNDS, vocabulary_name: str = VOCABULARY) -> tuple[list[str], dict[str, np.ndarray]]:
     """``docs`` has ``doc_id, text, lang``. The model is bounded by the vocabulary and the languages."""
+    prepare(docs.sparkSession)
     usable = docs.filter(learns(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not sizes:
@@ -224,7 +225,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = EM_ROUN
 def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` and the columns named in ``keep``, a row per document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     sent, name = spark.sparkContext.broadcast((langs, model)), uuid.uuid4().hex
     kept = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)

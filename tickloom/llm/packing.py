@@ -17,7 +17,6 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, cut, partitions_for, renamed
+from tickloom.llm.common import cut, prepare, partitions_for, renamed
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 0
@@ -33,7 +32,7 @@ SEQUENCE_TOKENS = 2048
 #: Pieces that one packing task holds at most, about; the loss is under one bin a task.
 TASK_PIECES = 50_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 40
 #: Units that one call of the tokenizer takes.
 UNITS = 4096
@@ -63,8 +62,7 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode_whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -82,40 +80,59 @@ class WordEncoder:
                 out += self._encode_whole(part)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of all words into ``known``."""
-        known, units = self.known, self.units
-        split, odd = [], []
+    def _learn(self, new: list[str]) -> list[str]:
+        """Put the ids of all words, and of their letters, into ``known``; return all that it put there."""
+        known = self.known
+        alone, split, odd, parts = [], [], [], set()
         for w in new:
+            if w.isalpha():
+                alone.append(w)
+                continue
             core = w.strip(PUNCTUATION)
             if core.isalpha():
                 at = w.index(core)
-                split.append((w, w[:at], core.lower() if core.isascii() else core, w[at + len(core) :]))
+                x = (w[:at], core, w[at + len(core) :])
+                split.append((w, x))
+                parts.update(x)
             else:
                 odd.append(w)
-        fresh = list({u for x in split for u in x[1:] if u not in units})
-        units.update(zip(fresh, self._encode_units(fresh)))
-        for w, before, core, after in split:
-            known[w] = units[before] + units[core] + units[after] if before or after else units[core]
+        parts.difference_update(alone)
+        units = [*alone, *parts.difference(known)]
+        known.update(zip(units, self._encode_units(units)))
         known.update(zip(odd, self._encode_whole(odd)))
+        for w, (before, core, after) in split:
+            known[w] = known[before] + known[core] + known[after]
+        return [*units, *odd, *(w for w, _ in split)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [[t] if ODD_SPACE(t) else t.split() for t in (t or "" for t in texts)]
+        split = [_words(t) for t in texts]
         known = self.known
-        new = list({w for words in split for w in words}.difference(known))
-        if new:
-            self._learn(new)
+        new = set().union(*split).difference(known)
+        put = self._learn(list(new)) if new else []
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(known) <= CACHED_WORDS and len(w) <= CACHED_LENGTH:
-                continue
-            del known[w]
-        if len(self.units) > CACHED_WORDS:  # the common ones came first
-            self.units = dict(islice(self.units.items(), CACHED_WORDS * 3 // 4))
+        room = len(known) - CACHED_WORDS
+        if room > 0:
+            for w in put[max(0, len(put) - room) :]:
+                del known[w]
+        for w in put:
+            if len(w) > CACHED_LENGTH:
+                known.pop(w, None)
         return out
 
 
+#: Latin text in which lower case and composition are plain: the tokenizer lowers it like Python does.
+_UNUSUAL = re.compile("[^\t\n\r -~\xa1-\u012f\u0131-\u024f]").search
+
+
+def _words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if text.isascii() and text.isprintable() or not _UNUSUAL(text):
+        return text.lower().split()
+    return [text] if ODD_SPACE(text) else text.split()
+
+
 def encoder(name: str = TOKENIZER) -> WordEncoder:
     if name not in _encoders:
         _encoders[name] = WordEncoder(public_tokenizers.path(name))
@@ -141,7 +158,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = SEQUENCE_TOKENS, keep_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, on request, the ids themselves."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     return kept.mapInArrow(lambda it: _piece_batches(it, tokenizer, limit, keep_ids), schema)

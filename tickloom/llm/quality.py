@@ -1,9 +1,9 @@
 """Quality rules with weak supervision, in DataFrame functions only.
 
 Each rule votes for (1) or against (-1) a document or abstains (0). Vote patterns are counted over all
-documents; expectation-maximisation over the pattern counts estimates how each rule votes on good and on bad
-documents, and a document is kept if the posterior probability that it is good reaches one half. There are at
-most 3^rules patterns, whatever the input, and one row of sums reaches the driver per round.
+documents; expectation-maximisation over the pattern counts estimates how often each rule's votes are right,
+and a document is kept if the posterior probability that it is good reaches one half. There are at most
+3^rules patterns, whatever the input, and one row of sums reaches the driver per round.
 
 Defined cases: a null or empty text has no words and fails; repeated rows count each; an empty table gives an
 empty result. Word windows are compared by 64-bit hash within one text.
@@ -26,6 +26,7 @@ ROUNDS = 25
 KEEP = 0.5
 #: Where the search starts: how often a rule's vote is right, and how many documents are good.
 FIRST_ACCURACY, FIRST_GOOD = 0.8, 0.7
+ACCURACY_BOUNDS, GOOD_BOUNDS = (0.6, 0.99), (0.2, 0.9)
 
 
 def _repeat_words() -> Column:
@@ -53,7 +54,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(packed).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate("text", "0123456789", "")).alias("undigited"),
-        F.length(F.regexp_replace("text", r"[^A-Z\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
     )
     n = F.size("words")
     window = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
@@ -66,6 +68,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         (F.col("n_chars") - F.col("undigited")).cast("long").alias("n_digits"),
         "n_upper",
+        "n_letters",
         F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
     )
     # Most texts repeat few windows; only those that repeat any are sorted.
@@ -83,61 +86,49 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def rules() -> dict[str, Column]:
-    """Votes by name: 1 for good, -1 for bad, 0 to abstain."""
+    """Votes by name: 1 for good, -1 for bad, 0 to abstain. Most rules know signs of bad documents only."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
     symbols, repeats = F.col("n_symbols") / words, F.col("n_repeat_words") / words
     lines, mean = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") / words
-    digits, upper = F.col("n_digits") / chars, F.col("n_upper") / chars
+    digits, upper, letters = F.col("n_digits") / chars, F.col("n_upper") / chars, F.col("n_letters") / chars
+    bad = lambda found: F.when(found, -1).otherwise(0)
     return {
-        "length": vote(F.col("n_words") < LEAST_WORDS, F.col("n_words") >= 2 * LEAST_WORDS),
-        "symbols": vote(symbols > 0.1, symbols < 0.02),
-        "repeats": vote(repeats > 0.5, repeats < 0.3),
-        "lines": vote(lines > 0.3, lines < 0.1),
-        "word_length": vote((mean < 3) | (mean > 12), mean.between(4, 9)),
-        "digits": vote(digits > 0.15, digits < 0.05),
-        "upper": vote(upper > 0.3, upper < 0.1),
+        "length": bad(F.col("n_words") < LEAST_WORDS),
+        "symbols": bad(symbols > 0.1),
+        "repeats": bad(repeats > 0.5),
+        "lines": bad(lines > 0.3),
+        "word_length": bad((mean < 2.5) | (mean > 15)),
+        "digits": bad(digits > 0.2),
+        "upper": bad(upper > 0.4),
+        "letters": F.when(letters < 0.85, -1).when(letters >= 0.92, 1).otherwise(0),
     }
 
 
-def _log_odds(accuracy: dict[str, tuple[float, float, float, float]], good: float) -> Column:
-    """Log odds of good for a row of votes, from each rule's (P(1|good), P(-1|good), P(1|bad), P(-1|bad))."""
-    odds = F.lit(math.log(good) - math.log(1 - good))
-    for name, (pg, ng, pb, nb) in accuracy.items():
-        v = F.col(f"v_{name}")
-        odds = odds + F.when(v == 1, F.lit(math.log(pg / pb))).when(v == -1, F.lit(math.log(ng / nb))).otherwise(F.lit(math.log((1 - pg - ng) / (1 - pb - nb))))
+def _log_odds(accuracy: dict[str, float], good: float) -> Column:
+    """Log odds of good for a row of votes: each vote counts by how often its rule is right."""
+    odds = F.lit(math.log(good / (1 - good)))
+    for name, a in accuracy.items():
+        odds = odds + F.col(f"v_{name}") * F.lit(math.log(a / (1 - a)))
     return odds
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, tuple[float, float, float, float]], float]:
-    """EM over ``v_<name>`` columns and ``n``. Counts are smoothed, so no probability reaches 0 or 1.
-
-    A rule's abstaining carries no news of its own: it is as likely on good documents as on bad ones.
-    """
-    right, wrong = FIRST_ACCURACY * 0.9, (1 - FIRST_ACCURACY) * 0.9
-    accuracy, good = {k: (right, wrong, wrong, right) for k in names}, FIRST_GOOD
+def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+    """EM over ``v_<name>`` columns and the count ``n``: each rule's accuracy among its votes, and the share of
+    good documents. Both stay within bounds that keep a rule better than chance and no side empty."""
+    accuracy, good = dict.fromkeys(names, FIRST_ACCURACY), FIRST_GOOD
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-_log_odds(accuracy, good)))
-        scored = patterns.withColumn("g", F.col("n") * p).withColumn("b", F.col("n") * (1 - p))
-        sums = [F.sum("g").alias("g"), F.sum("b").alias("b")]
+        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
         for k in names:
-            for side in "gb":
-                sums += [F.sum(F.when(F.col(f"v_{k}") == v, F.col(side)).otherwise(0.0)).alias(f"{side}{'n_p'[v + 1]}_{k}") for v in (1, -1)]
-        r = scored.agg(*sums).first()
-        if not r["g"] or not r["b"]:
+            v = F.col(f"v_{k}")
+            sums += [F.sum(F.col("n") * F.when(v == 1, p).when(v == -1, 1 - p).otherwise(0.0)).alias(f"right_{k}"), F.sum(F.when(v != 0, F.col("n")).otherwise(0)).alias(f"votes_{k}")]
+        r = patterns.agg(*sums).first()
+        if not r["all"]:
             break
-        # Abstentions are as likely on either side; what a side's votes say is the share among its votes.
-        new = {}
-        for k in names:
-            gp, gn, bp, bn = r[f"gp_{k}"], r[f"gn_{k}"], r[f"bp_{k}"], r[f"bn_{k}"]
-            voted = min(0.999, max(0.001, (gp + gn + bp + bn) / (r["g"] + r["b"])))
-            hit, miss = (gp + 1) / (gp + gn + 2), (bn + 1) / (bp + bn + 2)
-            new[k] = (voted * hit, voted * (1 - hit), voted * (1 - miss), voted * miss)
-        now = min(0.999, max(0.001, r["g"] / (r["g"] + r["b"])))
-        settled = abs(now - good) < 1e-6 and all(abs(x - y) < 1e-6 for k in names for x, y in zip(new[k], accuracy[k]))
+        bound = lambda x, low, high: min(high, max(low, x))
+        new = {k: bound((r[f"right_{k}"] + FIRST_ACCURACY) / (r[f"votes_{k}"] + 1), *ACCURACY_BOUNDS) for k in names}
+        now = bound(r["good"] / r["all"], *GOOD_BOUNDS)
+        settled = abs(now - good) < 1e-6 and all(abs(new[k] - accuracy[k]) < 1e-6 for k in names)
         accuracy, good = new, now
         if settled:
             break

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, packing, sharding, simhash
+from tickloom.llm import language, mixing, packing, quality, secrets, sharding, simhash, suffixes, vectors
 from tickloom.llm.common import table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -22,12 +30,36 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identified(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (~F.coalesce(language.learns(F.col("doc_id")), F.lit(True))).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op8_simhash": op8_simhash}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
+
+
+QUERIES = {
+    "op1_suffixes": op1_suffixes,
+    "op2_secrets": op2_secrets,
+    "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
+    "op5_sharding": op5_sharding,
+    "op6_vectors": op6_vectors,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+}
 
 #: The targets by filling in order of size per weight, and the words that a stream cut at its target gives
 #: each document: whole rounds, and of the round that is cut what lies before the cut.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, renamed
+from tickloom.llm.common import prepare, renamed
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The patterns of the base.
@@ -374,7 +374,7 @@ def _tagger(name: str, sent) -> Tagger:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added``, a row per document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tagger = fit(kept)
     sent, name = spark.sparkContext.broadcast((tagger.weights, tagger.pairs)), uuid.uuid4().hex
@@ -396,7 +396,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mask`` and ``n_chars`` counted anew; all rows and columns stay."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     tagger = fit(renamed(docs, doc_id="doc_id", text="text"))
     sent, name = spark.sparkContext.broadcast((tagger.weights, tagger.pairs)), uuid.uuid4().hex
     at = docs.columns.index("text")

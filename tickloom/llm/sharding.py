@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, renamed
+from tickloom.llm.common import cut, prepare, renamed
 
 SHARDS = 16
 
@@ -45,6 +45,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: slots count from 0 in each shard, in order of doc_id."""
     spark = docs.sparkSession
+    prepare(spark)
     stored = cut(measured(docs, id_col, text_col), "sizes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "size", "text_crc32").withColumn("part", F.spark_partition_id())

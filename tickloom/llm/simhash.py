@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, cut, renamed
+from tickloom.llm.common import cut, prepare, renamed
 from tickloom.llm.components import component_labels
 
 SHINGLE_WORDS = 3
@@ -58,7 +58,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` with fp the fingerprint as a signed long, one row per row of ``docs``."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kept = renamed(docs, doc_id=id_col, text=text_col)
     return kept.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bounded_batches, cut, partitions_for, renamed
+from tickloom.llm.common import cut, prepare, partitions_for, renamed
 
 LEAST_WORDS = 50
 GRAM_WORDS = 8
@@ -227,7 +227,7 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start_word, end_word, partner_id``: the stretches of each document that other documents hold
     too, overlapping ones joined, with the smallest matched document."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
     found = cut(chains(matched_neighbours(kept)), "chains")
     runs = extended(kept, found)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, renamed
+from tickloom.llm.common import cut, prepare, renamed
 
 NEIGHBOURS = 20
 SEED = 5
@@ -131,7 +131,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int, dim: int, coded: bool)
 
 def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
+    prepare(vectors.sparkSession)
     usable = _usable(vectors, id_col, vector_col)
     sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = sizes["dim"] if sizes else 1
