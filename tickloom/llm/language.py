@@ -42,6 +42,8 @@ MARK = "▁"
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 40
 UNDEFINED = "und"
+#: Posterior probability below which a text counts as of no one language.
+LEAST_SCORE = 0.5
 
 _vocabularies: dict[str, frozenset[str]] = {}
 _scorers: dict[str, Scorer] = {}
@@ -176,6 +178,13 @@ class Scorer:
         return out
 
 
+def _scorer(name: str, sent) -> Scorer:
+    if name not in _scorers:  # a worker keeps the words it knows from task to task
+        _scorers.clear()
+        _scorers[name] = Scorer(*sent.value)
+    return _scorers[name]
+
+
 def learns(doc_id: Column) -> Column:
     """True for documents that may be learned from: crc32 of the id as text, mod 4, is not 2."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2
@@ -231,10 +240,7 @@ def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray], id_
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:  # a worker keeps the words it knows from task to task
-            _scorers.clear()
-            _scorers[name] = Scorer(*sent.value)
-        scorer = _scorers[name]
+        scorer = _scorer(name, sent)
         for b in batches:
             got = scorer.texts(b.column(1).to_pylist())
             arrays = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2:]]
@@ -247,3 +253,19 @@ def identified(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Train on the labelled documents that may be learned from, then predict for all."""
     langs, model = train(renamed(docs, doc_id="doc_id", text="text", lang="lang"))
     return predict(docs, langs, model, keep=keep)
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a posterior probability of ``least`` or more; all
+    columns stay as they are. Texts without a letter go, and those between languages."""
+    spark = docs.sparkSession
+    langs, model = train(renamed(docs, doc_id="doc_id", text="text", lang="lang"))
+    sent, name = spark.sparkContext.broadcast((langs, model)), uuid.uuid4().hex
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(name, sent)
+        for b in batches:
+            yield b.filter(pa.array([lang != UNDEFINED and score >= least for lang, score in scorer.texts(b.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

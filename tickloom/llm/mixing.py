@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, partitions_for, renamed, word_count
+from tickloom.llm.common import WORD, cut, partitions_for, renamed, word_count
 
 MOST_REPEATS = 3
 BLOCK_TOKENS = 1024
@@ -140,3 +140,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = parts.groupBy("sid", "begin").agg(F.sum(words).cast("long").alias("taken"))
     out = worded.join(sums, ["sid", "begin"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them: a copy for each whole reading and, where
+    a reading is cut, one of the words before the cut. All columns stay; ``n_chars`` is counted anew."""
+    taken = mix(docs, block=block).groupBy("doc_id").agg(F.sum("size").alias("_sum"), F.sum("taken").alias("_taken"))
+    size = word_count(F.col("text"))
+    on = docs["doc_id"].eqNullSafe(taken["doc_id"])
+    found = docs.join(taken.filter("_taken > 0"), on).select(*[docs[f"`{c}`"] for c in docs.columns], "_sum", "_taken", size.alias("_size"))
+    # Rows that repeat an id share by size what the mix takes of it.
+    found = found.withColumn("_own", F.floor(F.col("_taken") * F.col("_size") / F.col("_sum"))).filter("_own > 0")
+    found = found.withColumn("_whole", F.floor(F.col("_own") / F.col("_size"))).withColumn("_rest", F.col("_own") % F.col("_size"))
+    copies = F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0)).cast("int"))).alias("_copy")
+    each = found.select("*", copies)
+    units = F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
+    short = F.array_join(F.slice(units, F.lit(1), F.col("_rest").cast("int")), "")
+    text = F.when(F.col("_copy") > F.col("_whole"), short).otherwise(F.col("text"))
+    out = each.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, mixing, packing, quality, secrets, sharding, simhash, suffixes, vectors
+from tickloom.llm import language, licenses, mixing, packing, quality, secrets, sharding, simhash, suffixes, vectors
 from tickloom.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_secrets": op2_secrets,
@@ -59,6 +63,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 #: The targets by filling in order of size per weight, and the words that a stream cut at its target gives

@@ -20,7 +20,7 @@ from operator import and_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, prepare, renamed
@@ -165,12 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id (one copy of a repeated id)."""
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+
+    Of rows that repeat a doc_id the first by content stays. Rows without a doc_id can't stand for others:
+    of those that are equal in all columns one stays.
+    """
     kept = near_duplicates(docs, radius=radius).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    same = once.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    single = once.join(same, "doc_id", "left_anti")
-    # Rows that repeat one doc_id: the first by content stays.
-    cols = [c for c in docs.columns if c != "doc_id"]
-    first = once.join(same, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*cols)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in cols])
-    return single.unionByName(first).select(*docs.columns)
+    others = [F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"]
+    order = Window.partitionBy("doc_id").orderBy(*others)
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL").distinct())
