@@ -6,8 +6,8 @@ words. Piece probabilities come from expectation-maximisation (forward-backward
 sample of labelled documents.
 
 The sample: of each language about ``SAMPLE_DOCS`` documents, drawn by a hash of the id; it is the only bound
-and all else covers all data. Words are of the lower-cased text, split at white space, and marked at their
-start as the vocabulary does. Characters that the vocabulary lacks count as one unknown piece each.
+and all else covers all data. Words are of the lower-cased text, split at white space, without ASCII signs and
+digits at their ends, and marked at their start as the vocabulary does. Characters that the vocabulary lacks count as one unknown piece each.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is any text if no language
 was learned; ties go to the language that sorts first; repeated rows are judged alike.
@@ -19,6 +19,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,10 @@ SMOOTHING = 0.1
 UNKNOWN = math.exp(-18)
 MARK = "▁"
 #: Words whose scores a worker keeps; others are scored anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 40
+#: Signs that are taken off the ends of words.
+SIGNS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 UNDEFINED = "und"
 #: Posterior probability below which a text counts as of no one language.
 LEAST_SCORE = 0.5
@@ -107,74 +110,144 @@ def train_language(words: Counter, pieces, rounds: int = EM_ROUNDS) -> dict[str,
     return prob
 
 
-def _marked(text: str | None) -> list[str]:
-    return [MARK + w for w in (text or "").lower().split()]
+def units(text: str | None) -> list[str]:
+    """The words of a text in lower case, as they stand between white space."""
+    return (text or "").lower().split()
+
+
+def core(word: str) -> str:
+    """A word without the ASCII signs and digits at its ends, which tell nothing of its language."""
+    return word.strip(SIGNS)
 
 
 class Scorer:
-    """Log probabilities of words in every language. ``model`` has a row of probabilities for each piece."""
+    """Log probabilities of words in every language, kept for the words met first.
+
+    All new words of a batch go through the forward algorithm together: the pieces that end at one place of
+    their words are one step, for all words and languages at once.
+    """
 
     def __init__(self, langs: list[str], model: dict[str, np.ndarray]) -> None:
-        self.langs, self.model = langs, {p: tuple(map(float, v)) for p, v in model.items()}
-        self.unknown = (UNKNOWN,) * len(langs)
-        self.index: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(langs)))
-
-    def word(self, word: str) -> np.ndarray:
-        """The forward sums of the word, all languages side by side, rescaled as they shrink."""
-        model, n = self.model, len(self.langs)
-        ring: list[list[float]] = [[1.0] * n]
-        logs = np.zeros(n)
+        self.langs = langs
+        #: A piece's row, or -1 for what only begins pieces.
+        self.rows: dict[str, int] = {}
+        for k, p in enumerate(model):
+            self.rows[p] = k
+        for p in model:
+            for n in range(1, len(p)):
+                self.rows.setdefault(p[:n], -1)
+        probs = np.array([*model.values(), np.full(len(langs), UNKNOWN)]) if model else np.full((1, len(langs)), UNKNOWN)
+        self.probs, self.unknown = probs, len(model)
+        self.index: dict[str, int] = {"": 0}
+        self.scores, self.used = np.zeros((1024, len(langs))), 1
+
+    def _long(self, word: str) -> np.ndarray:
+        """One word whose probability may be too small for a float: rescaled at every place."""
+        n, get = len(self.langs), self.rows.get
+        ring, logs = [np.ones(n)], np.zeros(n)
         for end in range(1, len(word) + 1):
-            here = [0.0] * n
-            known = False
+            here, known = np.zeros(n), False
             for back in range(1, min(PIECE_LENGTH, end) + 1):
-                if v := model.get(word[end - back : end]):
-                    before = ring[-back]
+                r = get(word[end - back : end], -1)
+                if r >= 0:
+                    here += ring[-back] * self.probs[r]
                     known = known or back == 1
-                    for k in range(n):
-                        here[k] += before[k] * v[k]
             if not known:
-                before = ring[-1]
-                for k in range(n):
-                    here[k] += before[k] * UNKNOWN
-            ring.append(here)
-            if len(ring) > PIECE_LENGTH:
-                del ring[0]
-            if max(here) < 1e-100 or min(here) < 1e-200:
-                scale = [max(x, 1e-300) for x in here]
-                logs += np.log(scale)
-                ring = [[x / s for x, s in zip(row, scale)] for row in ring]
-        return logs + np.log([max(x, 1e-300) for x in ring[-1]])
+                here += ring[-1] * UNKNOWN
+            scale = np.maximum(here, 1e-300)
+            logs += np.log(scale)
+            ring = [x / scale for x in ring[-PIECE_LENGTH + 1 :]] + [here / scale]
+        return logs
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of log probabilities for each word, each over all its segmentations."""
+        get, unknown = self.rows.get, self.unknown
+        level: list[int] = []
+        start: list[int] = []
+        row: list[int] = []
+        last = np.zeros(len(words), np.int64)
+        long: list[int] = []
+        base = 0
+        for k, plain in enumerate(words):
+            if len(plain) > CACHED_LENGTH:
+                long.append(k)
+                continue
+            w = MARK + plain
+            size = len(w)
+            for s in range(size):
+                known = False
+                for e in range(s + 1, min(size, s + PIECE_LENGTH) + 1):
+                    r = get(w[s:e])
+                    if r is None:
+                        break
+                    if r >= 0:
+                        level.append(e)
+                        start.append(base + s)
+                        row.append(r)
+                        known = known or e == s + 1
+                if not known:
+                    level.append(s + 1)
+                    start.append(base + s)
+                    row.append(unknown)
+            last[k] = base + size
+            base += size + 1
+        n = len(self.langs)
+        alpha = np.zeros((base + 1, n))
+        if base:
+            levels, starts, rows = np.array(level), np.array(start), np.array(row)
+            sizes = last[last > 0] + 1
+            firsts = np.concatenate([[0], sizes[:-1]])
+            alpha[firsts] = 1.0
+            node0 = np.repeat(firsts, np.diff(np.append(firsts, base)))
+            ends = node0[starts] + levels
+            order = np.lexsort((ends, levels))
+            ends, starts, rows = ends[order], starts[order], rows[order]
+            cuts = np.searchsorted(levels[order], np.arange(1, int(levels.max()) + 2))
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    value = alpha[starts[x:y]] * self.probs[rows[x:y]]
+                    new = np.nonzero(np.diff(ends[x:y], prepend=-1))[0]
+                    alpha[ends[x:y][new]] = np.add.reduceat(value, new, axis=0)
+        out = np.log(np.maximum(alpha[last], 1e-300))
+        for k in long:
+            out[k] = self._long(MARK + words[k])
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Rows for new words; words that differ in the signs at their ends alone share one."""
+        index, cores = self.index, {w: core(w) for w in new}
+        fresh = [c for c in set(cores.values()) if c not in index]
+        if fresh:
+            at = self.used
+            rows = self.words(fresh)
+            while at + len(rows) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at : at + len(rows)] = rows
+            index.update(zip(fresh, range(at, at + len(rows))))
+            self.used = at + len(rows)
+        for w, c in cores.items():
+            index[w] = index[c]
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [_marked(t) for t in texts]
+        split = [units(t) for t in texts]
         index = self.index
-        new = {w for words in split for w in words if w not in index}
-        own: dict[str, int] = {}
-        fresh = []
-        for k, w in enumerate(sorted(new)):
-            fresh.append(self.word(w))
-            if len(w) <= CACHED_LENGTH and len(index) < CACHED_WORDS:
-                index[w] = at = len(index)
-                if at >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[at] = fresh[-1]
-            else:
-                own[w] = k
-        extra = np.array(fresh) if own else None
-        out = []
-        for text, words in zip(texts, split):
+        new = set().union(*split).difference(index)
+        if new:
+            self._learn(list(new))
+        flat = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64)
+        sizes = np.array([len(w) for w in split])
+        ends = np.cumsum(sizes)
+        out: list[tuple[str, float]] = []
+        for text, s, e in zip(texts, ends - sizes, ends):
             if not self.langs or not text or not any(map(str.isalpha, text)):
                 out.append((UNDEFINED, 0.0))
                 continue
-            if own:
-                at = [index[w] for w in words if w in index]
-                total = self.scores[at].sum(0) + sum((extra[own[w]] for w in words if w in own), np.zeros(len(self.langs)))
-            else:
-                total = self.scores[[index[w] for w in words]].sum(0)
+            total = self.scores[flat[s:e]].sum(0)
             best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            out.append((self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+        if len(index) > CACHED_WORDS:  # the common words came first: their rows are the first
+            self.index = dict(islice(index.items(), CACHED_WORDS // 2))
+            self.used = 1 + max(self.index.values())
         return out
 
 
@@ -194,7 +267,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(_marked(text))
+            counts.setdefault(lang, Counter()).update(map(core, units(text)))
     for lang, words in counts.items():
         yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -215,7 +288,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = EM_ROUN
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = vocabulary(vocabulary_name)
-        prob = train_language(Counter(dict(zip(pdf["word"], pdf["n"]))), pieces, rounds)
+        prob = train_language(Counter({MARK + w: n for w, n in zip(pdf["word"], pdf["n"]) if w}), pieces, rounds)
         floor = min(prob.values())
         kept = {p: v for p, v in prob.items() if v > floor}
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "piece": ["", *kept], "prob": [floor, *kept.values()]})
@@ -223,11 +296,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = EM_ROUN
     rows = counted.groupBy("lang").applyInPandas(one, "lang string, piece string, prob double").collect()
     langs = sorted({r["lang"] for r in rows})
     floors = np.array([next(r["prob"] for r in rows if r["lang"] == x and r["piece"] == "") for x in langs])
-    model = {p: floors.copy() for p in vocabulary(vocabulary_name)}
+    model: dict[str, np.ndarray] = {}  # pieces that no language uses are as good as absent
     at = {x: k for k, x in enumerate(langs)}
     for r in rows:
         if r["piece"]:
-            model[r["piece"]][at[r["lang"]]] = r["prob"]
+            model.setdefault(r["piece"], floors.copy())[at[r["lang"]]] = r["prob"]
     return langs, model
 
 
