@@ -30,7 +30,7 @@ def json_number(c: Column | str, digits: int | None = None) -> Column:
     if digits is None:
         return c.cast("long").cast("string")
     bad = F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(float("inf")))
-    return F.when(bad, F.raise_error(F.lit("value isn't finite"))).otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
+    return F.when(bad, F.raise_error(F.lit("value isn't finite"))).when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def json_text(c: Column | str) -> Column:

@@ -288,7 +288,7 @@ def consecutive_dedup(spark, d):
 )
 def sample_positions(spark, d):
     t = _ticks(spark, d)
-    spots = t.groupBy("session").agg(F.count("*").alias("n")).select("session", F.explode(arrays.first_middle_last("n")).cast("long").alias("idx"))
+    spots = t.groupBy("session").agg(F.count("*").alias("n")).select("session", F.explode(arrays.first_middle_last("n").cast("array<bigint>")).alias("idx"))
     return t.join(spots, ["session", "idx"]).select("session", "idx", "state")
 
 
@@ -409,7 +409,7 @@ def ratio_summary(spark, d):
     return out.withColumn("clicks_share", F.round("clicks_share", 6)).withColumn("large_share", F.round("large_share", 6))
 
 
-@query(f"WITH {T} SELECT session, count(*) AS rows, string_agg(state || ':' || n, ',' ORDER BY state) AS flags FROM (SELECT session, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY session) AS rows FROM t GROUP BY ALL) GROUP BY session, rows".replace("count(*) AS rows, string_agg", "CAST(rows AS BIGINT) AS rows, string_agg"))
+@query(f"WITH {T}, c AS (SELECT session, state, count(*) AS n FROM t GROUP BY ALL) SELECT session, CAST(sum(n) AS BIGINT) AS rows, string_agg(state || ':' || n, ',' ORDER BY state) AS flags FROM c GROUP BY session")
 def session_flags(spark, d):
     out = coverage.session_summary(_ticks(spark, d), "state")
     flags = F.array_join(F.transform(F.map_entries("flags"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
