@@ -7,10 +7,13 @@ executor and the driver can reach, so a lost executor costs a re-read and never
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
+T = TypeVar("T")
+
 _shipped = ""
 _written: list[tuple[SparkSession, str]] = []
 
@@ -74,6 +79,19 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time, as stages of different operators
+    share the workers and their memory."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,13 +23,14 @@ import re
 import string
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, renamed
+from tickloom.llm.common import held, prepare, renamed
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The patterns of the base.
@@ -42,16 +43,15 @@ KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 SAMPLE_DOCS = 600
+#: The sample is drawn from a pool of about so many times its size.
+POOL = 10
 SAMPLE_SEED = 11
 GENERATED = 400
 EPOCHS = 6
 RATE = 0.2
 DECAY = 1e-4
 TAGS = 3  # O, B, I
-CACHED_WORDS = 400_000
-CACHED_LENGTH = 60
-
-_models: dict[str, Tagger] = {}
+CACHED_WORDS = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,12 +70,18 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+_TRIM = " \t\"'`,;()[]{}<>#*$%&|!?."
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _NAME = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login|private", re.ASCII | re.IGNORECASE)
 
 
 def shape(word: str) -> tuple[str, ...]:
     """The features of a word itself."""
+    bare = word.strip(_TRIM)
+    if bare.isalpha() and len(bare) < 24:
+        case = "lower" if bare.islower() else "upper" if bare.isupper() else "title" if bare[1:].islower() else "mixed"
+        named = bare.isascii() and bool(_NAME.search(bare))
+        return (f"alpha={case}", f"letters={min(len(bare) // 6, 3)}{case == 'mixed'}", f"alpha_named={named}")
     core = max(_CORE.findall(word), key=len, default="")
     if not core:
         named = bool(_NAME.search(word)) and word.isascii()
@@ -95,6 +101,7 @@ def shape(word: str) -> tuple[str, ...]:
         f"hex={all(c in '0123456789abcdefABCDEF' for c in core)}",
         f"mix={kinds >= 2 and digits > 1}/{min(n // 8, 4)}",
         f"assign={any(c in word for c in '=:')}/{bool(_NAME.search(word)) and word.isascii()}",
+        f"address={'@' in word or '://' in word}",
         f"pure={digits == n or lower == n or upper == n}/{min(n // 8, 4)}",
     )
 
@@ -112,16 +119,18 @@ def file_bucket(text: str) -> int:
 
 
 class Tagger:
-    """Weights by feature name, and score rows of the words met so far."""
+    """Weights by feature name, and the score rows of the words met so far. Words with the same features share
+    a row, so there are few rows, however many words."""
 
     def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray) -> None:
         self.weights, self.pairs = weights, pairs
-        self.index: dict[str, int] = {"": 0}
-        self.rows = np.zeros((1024, 4, TAGS), np.float32)
-        self.rows[0] = self._row("")
+        self.rows = np.zeros((64, 4, TAGS), np.float32)
+        self.by_features: dict[tuple, int] = {}
+        self.index: dict[str, int] = {}
         self.files = [self._sum([f"file={k}"]) for k in range(4)]
-        span = float(pairs.max() - pairs.min())
-        self.margin = 2 * span + 1e-6
+        # The most that two transitions can gain over those through O.
+        ways = [pairs[p, a] + pairs[a, q] - pairs[p, 0] - pairs[0, q] for p in range(TAGS) for q in range(TAGS) for a in (1, 2)]
+        self.margin = max(0.0, *ways) + 1e-3
 
     def _sum(self, names) -> np.ndarray:
         out = np.zeros(TAGS)
@@ -131,29 +140,29 @@ class Tagger:
                 out += w
         return out
 
-    def _row(self, word: str) -> np.ndarray:
-        own, side = shape(word), beside(word)
-        return np.stack([self._sum(own), self._sum("next:" + x for x in side), self._sum("prev:" + x for x in side), self._sum("prev2:" + x for x in side)])
+    def _row(self, word: str) -> int:
+        key = own, side = shape(word), beside(word)
+        at = self.by_features.get(key)
+        if at is None:
+            at = self.by_features[key] = len(self.by_features)
+            if at >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at] = [self._sum(own), self._sum("next:" + x for x in side), self._sum("prev:" + x for x in side), self._sum("prev2:" + x for x in side)]
+        return at
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        """Row numbers; the batch's own rows follow the known ones and are dropped when it is done."""
         index = self.index
         try:
             return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         except KeyError:
-            pass
-        for w in set(words).difference(index):
-            at = index[w] = len(index)
-            if at >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self._row(w)
+            for w in set(words).difference(index):
+                index[w] = self._row(w)
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def trim(self) -> None:
         """Forget the words met last once there are too many of them; the common ones came first."""
         if len(self.index) > CACHED_WORDS:
-            self.index = dict(list(self.index.items())[: CACHED_WORDS // 2])
-            self.rows = self.rows[: max(1024, CACHED_WORDS)].copy()
+            self.index = dict(islice(self.index.items(), CACHED_WORDS // 2))
 
     def emissions(self, words: list[str], bucket: int) -> np.ndarray:
         ids = self._ids(words)
@@ -181,9 +190,8 @@ class Tagger:
 
 
 def viterbi(e: np.ndarray, pairs: np.ndarray, before: bool, after: bool) -> np.ndarray:
-    """The best path; ``before`` and ``after`` say whether a word that is outside stands there. At the start
-    of a text, inside can't come without begin, which the pair weights from outside say."""
-    score = e[0] + pairs[0] if before else e[0] + np.where(np.arange(TAGS) == 2, pairs[0, 2], 0)
+    """The best path; ``before`` and ``after`` say whether a word that is outside stands there."""
+    score = e[0] + pairs[0] if before else e[0]
     back = np.zeros((len(e), TAGS), np.int8)
     for t in range(1, len(e)):
         ways = score[:, None] + pairs
@@ -224,9 +232,12 @@ def generated(n: int, seed: int = SAMPLE_SEED) -> list[tuple[list[str], list[int
     """Lines with secrets of forms that the patterns miss, and lines with harmless values in like places."""
     rng = random.Random(seed)
     alphabet = string.ascii_letters + string.digits
-    plain = ["the", "value", "of", "is", "set", "to", "see", "https://example.com/a/b", "2024-01-05", "10.0.0.12", "version", "count", "name@example.com", "+1", "555-0100", "4111111111111111", "1234567890123456", "Name:", "size", "=", "42", "true", "internationalization", "AND", "PLEASE"]
+    plain = ["the", "value", "of", "is", "set", "to", "see", "https://example.com/a/b", "2024-01-05", "10.0.0.12", "version", "count", "name@example.com", "+1", "555-0100", "4111111111111111", "1234567890123456", "Name:", "coo.79@mail2.example.com", "lya.b@mail.example.org,", "size", "=", "42", "true", "internationalization", "AND", "PLEASE"]
     out = []
 
+    def key_lines() -> list[str]:
+        return ["".join(rng.choices(alphabet + "+/", k=rng.choice([48, 64]))) for _ in range(rng.randrange(2, 5))]
+
     def secret() -> str:
         kind = rng.randrange(4)
         if kind == 0:
@@ -245,6 +256,10 @@ def generated(n: int, seed: int = SAMPLE_SEED) -> list[tuple[list[str], list[int
             sign = rng.choice([["="], [":"], [], ["=>"]])
             words += [name, *sign, rng.choice(['"%s"', "'%s'", "%s", "%s;"]) % secret()]
             tags += [0] * (1 + len(sign)) + [1]
+        elif rng.random() < 0.3:  # a key in lines: the first begins the secret, the others are inside
+            lines = key_lines()
+            words += ["-----BEGIN", "PRIVATE", "KEY-----", *lines, "-----END", "PRIVATE", "KEY-----"]
+            tags += [0, 0, 0, 1, *[2] * (len(lines) - 1), 0, 0, 0]
         more = rng.choices(plain, k=rng.randrange(1, 6))
         out.append((words + more, tags + [0] * len(more)))
     return out
@@ -253,9 +268,8 @@ def generated(n: int, seed: int = SAMPLE_SEED) -> list[tuple[list[str], list[int
 def train(samples: list[tuple[list[str], list[int], int]], epochs: int = EPOCHS) -> Tagger:
     """Stochastic gradient of the conditional log-likelihood; gradients from forward-backward marginals."""
     weights: dict[str, np.ndarray] = {}
-    pairs = np.array([[0.0, 0.0, -8.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    pairs = np.zeros((TAGS, TAGS))
     rng = random.Random(SAMPLE_SEED)
-    order = list(range(len(samples)))
     prepared = [([_names(w, t, b) for t in range(len(w))], y) for w, y, b in samples if w]
     order = list(range(len(prepared)))
     for epoch in range(epochs):
@@ -275,8 +289,7 @@ def train(samples: list[tuple[list[str], list[int], int]], epochs: int = EPOCHS)
                     w += rate * (g - DECAY * w)
             for t in range(1, len(y)):
                 edge[y[t - 1], y[t]] += 1
-            pairs += rate * np.clip(edge, -3, 3) / 3
-            pairs[0, 2] = -8.0
+            pairs += rate * (np.clip(edge, -3, 3) / 3 - DECAY * pairs)
     return Tagger(weights, pairs)
 
 
@@ -286,7 +299,7 @@ def marginals(e: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     a, b = np.zeros((n, TAGS)), np.zeros((n, TAGS))
     move = np.exp(pairs)
     local = np.exp(e - e.max(1, keepdims=True))
-    a[0] = local[0] * np.array([1, 1, move[0, 2]])
+    a[0] = local[0]
     a[0] /= a[0].sum()
     for t in range(1, n):
         a[t] = (a[t - 1] @ move) * local[t]
@@ -308,12 +321,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tagger:
     """``docs`` has ``doc_id, text``. About half the sample are texts that name or hold a secret."""
     texts = docs.filter(F.col("text").isNotNull())
     order = F.xxhash64("doc_id", F.lit(SAMPLE_SEED))
+    share = min(1.0, POOL * sample_docs / max(1, texts.count()))
+    pool = texts.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     low = F.lower("text")
     hint = low.contains("akia")
     for k in KEYWORDS:
         hint = hint | low.contains(k)
-    some = texts.filter(hint).orderBy(order, "doc_id").limit(sample_docs // 2).select("text")
-    rest = texts.filter(~hint).orderBy(order, "doc_id").limit(sample_docs - sample_docs // 2).select("text")
+    some = pool.filter(hint).orderBy(order, "doc_id").limit(sample_docs // 2).select("text")
+    rest = pool.filter(~hint).orderBy(order, "doc_id").limit(sample_docs - sample_docs // 2).select("text")
     rows = [r["text"] for r in some.unionAll(rest).collect()]  # at most sample_docs rows
     samples = []
     for text in rows:
@@ -325,9 +340,6 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tagger:
     return train(samples)
 
 
-_TRIM = " \t\"'`,;()[]{}<>#*$%&|!?"
-
-
 def added_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Secrets that the field tags, without those that touch a span of the base."""
     words = text.split()
@@ -364,11 +376,9 @@ def scan(text: str | None, tagger: Tagger) -> tuple[list[tuple[int, int, int]],
 
 
 def _tagger(name: str, sent) -> Tagger:
-    if name not in _models:  # a worker keeps the words it knows from task to task
-        _models.clear()
-        _models[name] = Tagger(*sent.value)
-    _models[name].trim()
-    return _models[name]
+    tagger = held(name, lambda: Tagger(*sent.value))
+    tagger.trim()
+    return tagger
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
