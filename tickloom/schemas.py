@@ -26,7 +26,7 @@ COMMIT = _struct(batch=_S, item=_L, reference=_S, size=_L, committed_at=T.Timest
 CONTROL = _struct(
     session=_S, frame=_I, player=_I, main_x=_D, main_y=_D, c_x=_D, c_y=_D, trigger=_D, left=_D, right=_D, raw_x=_D, buttons=_L, physical=_L
 )
-#: The record of 132 bytes, little-endian; (name, struct code), in order of offset.
+#: The record of 132 bytes, little-endian; (name, struct code with padding before it), in order of offset.
 RECORD = (
     ("frame", "i"), ("slot", "B"), ("is_follower", "B"), ("airborne", "B"), ("character", "B"), ("seed", "I"),
     ("pre_state", "H"), ("state", "H"), ("pre_x", "f"), ("pre_y", "f"), ("pre_facing", "f"), ("stick_x", "f"), ("stick_y", "f"),
@@ -34,5 +34,5 @@ RECORD = (
     ("right_trigger", "f"), ("raw_stick_x", "f"), ("pre_percent", "f"), ("x", "f"), ("y", "f"), ("facing", "f"), ("percent", "f"),
     ("shield", "f"), ("last_attack", "B"), ("combo_count", "B"), ("last_hit_by", "B"), ("stocks", "B"), ("state_counter", "f"),
     ("misc_state", "f"), ("last_ground", "H"), ("jumps", "B"), ("l_cancel", "B"), ("hurtbox", "B"), ("reserved", "B"),
-    ("instance_hit_by", "H"), ("instance", "H"), ("hitlag", "f"), ("animation", "I"), ("speed_x", "f"), ("speed_y", "f"),
+    ("instance_hit_by", "H"), ("instance", "H"), ("hitlag", "2xf"), ("animation", "I"), ("speed_x", "f"), ("speed_y", "f"),
 )

@@ -14,7 +14,7 @@ from tickloom.schemas import RECORD
 FORMAT = "<" + "".join(code for _, code in RECORD)
 SIZE = struct.calcsize(FORMAT)
 NAMES = [n for n, _ in RECORD]
-FIELDS = ", ".join(f"{n} {'double' if c == 'f' else 'long'}" for n, c in RECORD)
+FIELDS = ", ".join(f"{n} {'double' if c[-1] == 'f' else 'long'}" for n, c in RECORD)
 
 
 def packed_row(row: dict) -> bytes:
@@ -23,7 +23,7 @@ def packed_row(row: dict) -> bytes:
     for name, code in RECORD:
         v = row.get(name)
         v = 0 if v is None or isinstance(v, float) and not math.isfinite(v) else v
-        values.append(float(v) if code == "f" else int(v))
+        values.append(float(v) if code[-1] == "f" else int(v))
     return struct.pack(FORMAT, *values)
 
 

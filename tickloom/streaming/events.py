@@ -18,21 +18,29 @@ def read(spark: SparkSession, path: str, schema: StructType, form: str = "parque
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(form).load(path)
 
 
+def watermarked(events: DataFrame, late: str | None, at: str = "ts") -> DataFrame:
+    """The events with a watermark, if one is asked for; times without a zone are taken as the session's."""
+    if not late:
+        return events
+    timed = events.withColumn(at, F.col(at).cast("timestamp")) if dict(events.dtypes)[at] == "timestamp_ntz" else events
+    return timed.withWatermark(at, late)
+
+
 def tumbling(events: DataFrame, width: str, late: str | None = None, at: str = "ts", *keys: str) -> DataFrame:
     """Counts and sums per window of event time."""
-    own = events.withWatermark(at, late) if late else events
+    own = watermarked(events, late, at)
     found = own.groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return found.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
 def sliding(events: DataFrame, width: str, slide: str, late: str | None = None, at: str = "ts", *keys: str) -> DataFrame:
-    own = events.withWatermark(at, late) if late else events
+    own = watermarked(events, late, at)
     found = own.groupBy(F.window(at, width, slide), *keys).agg(F.count("*").alias("n"))
     return found.select(F.col("window.start").alias("start"), *keys, "n")
 
 
 def sessions(events: DataFrame, gap: str, key: str, late: str | None = None, at: str = "ts") -> DataFrame:
-    own = events.withWatermark(at, late) if late else events
+    own = watermarked(events, late, at)
     found = own.groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n"))
     return found.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
@@ -45,7 +53,7 @@ def count_windows(ticks: DataFrame, ratio: int = 3, tick: str = "tick", session:
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str, at: str = "ts") -> DataFrame:
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+    return watermarked(events, late, at).dropDuplicatesWithinWatermark(keys)
 
 
 def write_committed(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
