@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, renamed
+from tickloom.llm.common import held, prepare, renamed
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 300
@@ -40,8 +40,10 @@ SMOOTHING = 0.1
 UNKNOWN = math.exp(-18)
 MARK = "▁"
 #: Words whose scores a worker keeps; others are scored anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 40
+#: New words that go through the forward algorithm at once.
+NEW_WORDS = 16_384
 #: Signs that are taken off the ends of words.
 SIGNS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 UNDEFINED = "und"
@@ -49,7 +51,6 @@ UNDEFINED = "und"
 LEAST_SCORE = 0.5
 
 _vocabularies: dict[str, frozenset[str]] = {}
-_scorers: dict[str, Scorer] = {}
 
 
 def vocabulary(name: str = VOCABULARY) -> frozenset[str]:
@@ -219,7 +220,7 @@ class Scorer:
         fresh = [c for c in set(cores.values()) if c not in index]
         if fresh:
             at = self.used
-            rows = self.words(fresh)
+            rows = np.concatenate([self.words(fresh[k : k + NEW_WORDS]) for k in range(0, len(fresh), NEW_WORDS)])
             while at + len(rows) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[at : at + len(rows)] = rows
@@ -251,13 +252,6 @@ class Scorer:
         return out
 
 
-def _scorer(name: str, sent) -> Scorer:
-    if name not in _scorers:  # a worker keeps the words it knows from task to task
-        _scorers.clear()
-        _scorers[name] = Scorer(*sent.value)
-    return _scorers[name]
-
-
 def learns(doc_id: Column) -> Column:
     """True for documents that may be learned from: crc32 of the id as text, mod 4, is not 2."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2
@@ -313,7 +307,7 @@ def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray], id_
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(name, sent)
+        scorer = held(name, lambda: Scorer(*sent.value))
         for b in batches:
             got = scorer.texts(b.column(1).to_pylist())
             arrays = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2:]]
@@ -337,7 +331,7 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(name, sent)
+        scorer = held(name, lambda: Scorer(*sent.value))
         for b in batches:
             yield b.filter(pa.array([lang != UNDEFINED and score >= least for lang, score in scorer.texts(b.column(at).to_pylist())], pa.bool_()))
 

@@ -14,6 +14,7 @@ repeated matches; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import prepare, renamed
+from tickloom.llm.common import held, prepare, renamed
 
 GRAM_WORDS = 3
 #: Successive grams of which one at least is kept: five words in common suffice to be found.
@@ -197,22 +198,16 @@ def matches(text: str | None, index: Index, least: float = LEAST_COVERAGE) -> li
     return sorted(spans, key=lambda x: (x[3], x[4], x[0]))
 
 
-_indexes: dict[tuple, Index] = {}
-
-
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """``doc_id, license, coverage, matched_words, start, end``: a row per match; whole texts are read."""
     prepare(docs.sparkSession)
-    own = dict(templates or TEMPLATES)
+    own, name = dict(templates or TEMPLATES), uuid.uuid4().hex
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(sorted(own.items()))
-        if key not in _indexes:
-            _indexes.clear()
-            _indexes[key] = Index(own)
+        index = held(name, lambda: Index(own))
         for b in batches:
-            rows = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matches(text, _indexes[key], least)]
+            rows = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in matches(text, index, least)]
             cols = list(zip(*rows)) if rows else [()] * 6
             types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "license", "coverage", "matched_words", "start", "end"])

@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, prepare, partitions_for, renamed
+from tickloom.llm.common import cut, held, partitions_for, prepare, renamed
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 0
@@ -32,7 +32,7 @@ SEQUENCE_TOKENS = 2048
 #: Pieces that one packing task holds at most, about; the loss is under one bin a task.
 TASK_PIECES = 50_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 40
 #: Units that one call of the tokenizer takes.
 UNITS = 4096
@@ -43,9 +43,6 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 #: Local search stops when this many rounds over the underfull bins brought nothing.
 SEARCH_ROUNDS = 12
 
-_encoders: dict[str, "WordEncoder"] = {}
-
-
 class WordEncoder:
     """Token ids of texts, by word. The tokenizer splits at white space before all else, so the ids of a
     text are those of its words in order. A text with white space of other kinds is encoded whole.
@@ -134,9 +131,7 @@ def _words(text: str | None) -> list[str]:
 
 
 def encoder(name: str = TOKENIZER) -> WordEncoder:
-    if name not in _encoders:
-        _encoders[name] = WordEncoder(public_tokenizers.path(name))
-    return _encoders[name]
+    return held(f"encoder {name}", lambda: WordEncoder(public_tokenizers.path(name)))
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
