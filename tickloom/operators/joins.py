@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.sets import numbered
+
 
 def latest_image_join(frames: DataFrame, images: DataFrame, key: str = "frame", order: str = "position") -> DataFrame:
     """Frames with their image, the last one where several share a frame; frames without one are left out."""
@@ -16,7 +18,12 @@ def latest_image_join(frames: DataFrame, images: DataFrame, key: str = "frame",
 def by_place(left: DataFrame, right: DataFrame, left_order: tuple[str, ...], right_order: tuple[str, ...], keys: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """The n-th row of one table with the n-th of the other, per key. Right rows beyond the left's are left
     out; if strict, a left row without a right one raises."""
-    place = lambda df, order: df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def place(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+        if not keys:  # one order over all rows: numbered by range partitions
+            return numbered(df, *order, name="place").withColumn("place", F.col("place") + 1)
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
     other = place(right, right_order).withColumn("_found", F.lit(True))
     out = place(left, left_order).join(other, [*keys, "place"], "left" if strict else "inner")
     if strict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.scratch import cut
+
 
 def all_references(*sources: DataFrame, reference: str = "reference") -> DataFrame:
     """The references of all sources in one order."""
@@ -22,7 +24,8 @@ def numbered(rows: DataFrame, *order: str, name: str = "sample") -> DataFrame:
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    # Stored, as range bounds are sampled anew whenever the shuffle is planned again.
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
     for part in sorted(counts):  # one entry per partition

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import arrays
+from tickloom.workers import ship
 
 
 def similarity_to(rows: DataFrame, vector: str, example: list[float]) -> DataFrame:
@@ -49,6 +50,7 @@ def pair_errors(a: Column | str, b: Column | str) -> list[Column]:
 
 def projected(rows: DataFrame, vector: str, dim: int, seed: int = 0) -> DataFrame:
     """A random orthonormal projection to ``dim`` dimensions, rounded to signed bytes with one scale a row."""
+    ship(rows.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

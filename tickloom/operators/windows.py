@@ -85,7 +85,12 @@ def unbiased_ema(rows: DataFrame, value: str, decay: float, keys: tuple[str, ...
 def stratified(rows: DataFrame, k: int, order: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """``k`` evenly spaced rows of each key, both ends included."""
     from tickloom.functions.arrays import spread
-
-    along = Window.partitionBy(*keys).orderBy(*order)
-    ranked = rows.withColumn("_i", F.row_number().over(along) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
-    return ranked.filter(F.array_contains(spread("_n", k), F.col("_i"))).drop("_i", "_n")
+    from tickloom.operators.sets import numbered
+
+    if keys:
+        ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+        ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
+        return ranked.filter(F.array_contains(spread("_n", k), F.col("_i"))).drop("_i", "_n")
+    n = rows.count()
+    places = F.array_contains(spread(F.lit(n), k), F.col("_i").cast("int")) if n else F.lit(False)
+    return numbered(rows, *order, name="_i").filter(places).drop("_i")

@@ -13,6 +13,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tickloom.workers import ship
+
 
 def least_loaded(shards: list[tuple[str, int]], slots: int, seed: int = 0, epoch: int = 0) -> list[list[tuple[str, int]]]:
     """Shards in hashed order, each to the slot with the least load; the lowest slot on a tie."""
@@ -42,6 +44,8 @@ def padded_samples(plan: list[list[tuple[str, int]]], batch: int, workers: int)
 def planned(shards: DataFrame, name: str, size: str, slots: int, seed: int = 0, epoch: int = 0) -> DataFrame:
     """``slot, place`` for each shard, by one task over the shard rows."""
 
+    ship(shards.sparkSession)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         plan = least_loaded([(str(n), int(s)) for n, s in zip(pdf[name], pdf[size])], slots, seed, epoch)
         rows = [(n, s, k, i) for k, slot in enumerate(plan) for i, (n, s) in enumerate(slot)]

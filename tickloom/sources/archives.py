@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tickloom.workers import ship
+
 #: The bytes that begin each kind of file.
 MAGIC = {b"\x28\xb5\x2f\xfd": "zstd", b"\x1f\x8b": "gzip", b"PK\x03\x04": "zip", b"7z\xbc\xaf\x27\x1c": "7z"}
 SCHEMA = "archive string, position int, member string, size long, content binary"
@@ -55,6 +57,7 @@ def _plain(data: bytes) -> bytes:
 
 def from_files(files: DataFrame, pattern: str = "*", contents: bool = True) -> DataFrame:
     """Members of the archives in a ``binaryFile`` table: ``archive, position, member, size, content``."""
+    ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -114,6 +117,7 @@ class ArchiveMembers(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ArchiveMembers)
 
 

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tickloom.workers import ship
+
 RETRIES = 5
 PASSING = (408, 425, 429, 500, 502, 503, 504)
 
@@ -84,4 +86,5 @@ class PagedListing(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(PagedListing)

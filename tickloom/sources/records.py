@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tickloom.schemas import RECORD
+from tickloom.workers import ship
 
 FORMAT = "<" + "".join(code for _, code in RECORD)
 SIZE = struct.calcsize(FORMAT)
@@ -29,6 +30,7 @@ def packed_row(row: dict) -> bytes:
 
 def packed(rows: DataFrame, session: str = "session") -> DataFrame:
     """``session, part, content``: each batch's rows of a session in order, end to end."""
+    ship(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, pdf in enumerate(frames):
@@ -40,6 +42,7 @@ def packed(rows: DataFrame, session: str = "session") -> DataFrame:
 
 def unpacked(files: DataFrame, name: str = "session", content: str = "content") -> DataFrame:
     """Rows of the records; a content that is no whole number of them raises."""
+    ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

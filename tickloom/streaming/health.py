@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.workers import ship
+
 STALE_SECONDS = 90
 MISSES = 2
 
 
 def advancing(stream: DataFrame, key: str = "session", frame: str = "frame", order: str = "position") -> DataFrame:
     """Rows of which the frame exceeds all before it, over micro-batches; ``advance`` is the step."""
+    ship(stream.sparkSession)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -39,6 +42,7 @@ def advancing(stream: DataFrame, key: str = "session", frame: str = "frame", ord
 def silent_nodes(stream: DataFrame, key: str = "node", at: str = "ts", stale: int = STALE_SECONDS) -> DataFrame:
     """``node, state, misses``: alive with each beat, and, by processing time, unknown after one silent span and
     dead after two."""
+    ship(stream.sparkSession)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
