@@ -1,76 +1,23 @@
-"""Helpers that the training-data operators share: scratch tables and table access.
-
-Scratch tables cut lineage. They are parquet folders under ``spark.checkpoint.dir``, which every
-executor and the driver can reach, so a lost executor costs a re-read and never a recomputation.
-"""
+"""Helpers that the training-data operators share: Python workers, words and table access."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.scratch import clear_scratch, cut, scratch_root  # noqa: F401
+from tickloom.workers import ship
+
 #: Code points that separate words: the space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 T = TypeVar("T")
 
-_shipped = ""
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/tickloom-scratch"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh shared scratch folder and return it as a scan of that folder."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
-def clear_scratch() -> None:
-    """Delete the scratch folders of this process. Results that still read them must be stored before."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended before
-            return
-
-
-atexit.register(clear_scratch)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
-    global _shipped
-    if _shipped != spark.sparkContext.applicationId:
-        root = Path(__file__).resolve().parent.parent
-        base = Path(tempfile.mkdtemp(prefix="tickloom-")) / "tickloom_package"
-        archive = shutil.make_archive(str(base), "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(archive)
-        _shipped = spark.sparkContext.applicationId
-
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package, and bound what one Arrow batch of long texts may hold in a Python worker."""
