@@ -33,6 +33,8 @@ WINDOW = 16  # a power of two
 HEAD_WORDS = LEAST_WORDS - WINDOW + 1
 #: Suffixes that one sorting task holds, about.
 TASK_SUFFIXES = 500_000
+#: Words that are looked at together, about.
+STEP_WORDS = 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -49,10 +51,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def kept_suffixes(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def kept_suffixes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(document, place, head, next)`` of the suffixes that are kept; head and next hash 35 words each."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    words = np.array([h for d in docs for h in d], np.uint64)
+    words = np.concatenate([np.zeros(0, np.uint64), *docs])
     total = len(words)
     none = np.zeros(0, np.int64)
     if total < LEAST_WORDS:
@@ -79,7 +81,7 @@ def kept_suffixes(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.nda
     places = np.unique(packed[whole] & low).astype(np.int64)
     places = places[places + HEAD_WORDS <= end_of[places]]
     left = np.minimum(end_of[places] - places - HEAD_WORDS, HEAD_WORDS)
-    heads, nexts = range_hash(places, HEAD_WORDS), range_hash(places + HEAD_WORDS, 0) if not len(places) else None
+    heads = range_hash(places, HEAD_WORDS)
     after = np.minimum(places + HEAD_WORDS, total - 1)
     nexts = _mixed((sums[places + HEAD_WORDS + left] - sums[places + HEAD_WORDS]) * back[after])
     doc = doc_of[places]
@@ -87,20 +89,29 @@ def kept_suffixes(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document and head: its first place, and the others in ``more``."""
+    """One row per document and head: its first place, and the others, if there are any, in ``more``."""
     for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        doc, place, head, after = kept_suffixes([hashed_words(t) for t in b.column(1).to_pylist()])
-        order = np.lexsort((place, head, doc))
-        doc, place, head, after = doc[order], place[order], head[order], after[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
-        at = np.nonzero(new)[0]
-        counts = np.diff(np.append(at, len(doc))) - 1
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[~new].astype(np.int32)))
-        arrays = [pa.array(head[at].view(np.int64)), pa.array(after[at].view(np.int64)), pa.array(ids[doc[at]], pa.int64()), pa.array(place[at].astype(np.int32)), more]
-        yield pa.record_batch(arrays, names=["head", "after", "doc", "place", "more"])
+        start, n, hashed = 0, 0, []
+        for k, text in enumerate(b.column(1).to_pylist()):
+            hashed.append(np.array(hashed_words(text), np.uint64))
+            n += len(hashed[-1])
+            if n >= STEP_WORDS or k + 1 == b.num_rows:
+                yield _suffix_rows(b.column(0).slice(start, len(hashed)).to_numpy(zero_copy_only=False), hashed)
+                start, n, hashed = k + 1, 0, []
+
+
+def _suffix_rows(ids: np.ndarray, hashed: list[np.ndarray]) -> pa.RecordBatch:
+    doc, place, head, after = kept_suffixes(hashed)
+    order = np.lexsort((place, head, doc))
+    doc, place, head, after = doc[order], place[order], head[order], after[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
+    at = np.nonzero(new)[0]
+    counts = np.diff(np.append(at, len(doc))) - 1
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(counts == 0, False))
+    more = pa.ListArray.from_arrays(offsets, pa.array(place[~new].astype(np.int32)))
+    arrays = [pa.array(head[at].view(np.int64)), pa.array(after[at].view(np.int64)), pa.array(ids[doc[at]], pa.int64()), pa.array(place[at].astype(np.int32)), more]
+    return pa.record_batch(arrays, names=["head", "after", "doc", "place", "more"])
 
 
 _ROW = "head long, after long, doc long, place int, more array<int>"
@@ -170,11 +181,12 @@ def chains(pairs: DataFrame) -> DataFrame:
         F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb"),
         F.when(swap, F.col("mb")).otherwise(F.col("ma")).alias("ma"), F.when(swap, F.col("ma")).otherwise(F.col("mb")).alias("mb"),
     )
+    none = F.array().cast("array<int>")
     one = F.struct(F.col("pa").alias("x"), F.col("pb").alias("y"))
     every = F.concat(
         F.array(one),
-        F.transform("ma", lambda p: F.struct(p.alias("x"), F.col("pb").alias("y"))),
-        F.transform("mb", lambda p: F.struct(F.col("pa").alias("x"), p.alias("y"))),
+        F.transform(F.coalesce("ma", none), lambda p: F.struct(p.alias("x"), F.col("pb").alias("y"))),
+        F.transform(F.coalesce("mb", none), lambda p: F.struct(F.col("pa").alias("x"), p.alias("y"))),
     )
     flat = both.select("a", "b", F.explode(every).alias("m")).select("a", "b", F.col("m.x").alias("x"), (F.col("m.y") - F.col("m.x")).alias("shift")).distinct()
     along = Window.partitionBy("a", "b", "shift").orderBy("x")
