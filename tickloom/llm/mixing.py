@@ -23,7 +23,7 @@ BLOCK_TOKENS = 1024
 #: 1 / golden ratio.
 STEP = 0.6180339887498949
 #: Slots of one ranking group, and documents of one ordering group, about.
-GROUP_ROWS = 1 << 15
+GROUP_ROWS = 1 << 12
 SEED = 17
 #: Equal cells of the unit interval, by which a point finds the sources near it.
 CELLS = 4096
