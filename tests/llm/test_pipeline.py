@@ -62,3 +62,16 @@ def test_empty(spark):
 
 def test_secrets_are_gone(stages):
     assert secrets.base_spans(stages[3].filter("doc_id = 4").first().text) == []
+
+
+def test_extra_columns_that_clash(spark):
+    extra = ["size", "target", "taken", "source_size", "fp", "component_id", "rep", "root", "lang_pred", "score", "spans", "kept", "words", "block", "sid"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(i, t, "en", s, None, *["x"] * len(extra)) for i, (t, s) in enumerate([("the garden of the king " * 9, "a"), (None, None), ("the old house and a token = abcdefgh12", None), ("w" * 150_000 + " the king", "b")])]
+    docs = spark.createDataFrame([*rows, rows[0]], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert out.count() > 0
+        docs = cut(out, name)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 2
