@@ -170,13 +170,13 @@ def test_support_and_deep_sum(spark):
 
 
 def test_combos(spark):
-    rows = [([("jab", 2, 5.0), ("smash", 1, 20.0)], 0.0, True, 0, 30, 40), ([("jab", 1, 4.0)], 50.0, False, 10, 12, 15)]
+    rows = [([("tap", 2, 5.0), ("swing", 1, 20.0)], 0.0, True, 0, 30, 40), ([("tap", 1, 4.0)], 50.0, False, 10, 12, 15)]
     eps = spark.createDataFrame(rows, "hits array<struct<name:string,hit_count:int,damage:double>>, start_percent double, killed boolean, start int, last_hit int, end int")
     r = coverage.combos(eps, [(2, False, "one"), (None, False, "more")], [(10, False, "low"), (None, False, "high")]).collect()[0]
     assert (r.total, r.kills, r.zero_to_deaths, r.damage, r.hits, r.tight_frames, r.frames) == (2, 1, 1, 29.0, 4, 34, 47)
     assert (r.hits_one, r.hits_more, r.damage_low, r.damage_high) == (1, 1, 1, 1)
-    assert {x.name: x.landed for x in coverage.landed(eps).collect()} == {"jab": 3, "smash": 1}
-    assert {x.name: x.episodes for x in coverage.landed(eps, once=True).collect()} == {"jab": 2, "smash": 1}
+    assert {x.name: x.landed for x in coverage.landed(eps).collect()} == {"tap": 3, "swing": 1}
+    assert {x.name: x.episodes for x in coverage.landed(eps, once=True).collect()} == {"tap": 2, "swing": 1}
 
 
 def test_nearest_rank(spark):

@@ -90,8 +90,8 @@ def test_actions_and_contracts(spark):
 
 
 def test_paths_and_timer(spark):
-    df = spark.createDataFrame([("FOX/a b (BF).BIN", "t/0.bin"), ("x", "y")], "path string, target string")
+    df = spark.createDataFrame([("RED/a b (X).BIN", "t/0.bin"), ("x", "y")], "path string, target string")
     got = projections.metadata_rows(df).collect()
-    assert [(r.folder, r.name, r.stem, r.suffix) for r in got] == [("FOX", "a b (BF).BIN", "a b (BF)", ".bin"), (None, "x", "x", None)]
+    assert [(r.folder, r.name, r.stem, r.suffix) for r in got] == [("RED", "a b (X).BIN", "a b (X)", ".bin"), (None, "x", "x", None)]
     t = spark.createDataFrame([(-10,), (60,), (99999,)], "f int").select(projections.game_timer("f", F.lit(480.0)), projections.game_timer("f", F.lit(0.0), False))
     assert [tuple(r) for r in t.collect()] == [(480.0, 0.0), (479.0, 1.0), (0.0, 1666.65)]

@@ -928,3 +928,164 @@ def sliding_windows(spark, d):
 @query(f"WITH {T} SELECT session, (idx * 2 // 3) AS step, count(DISTINCT idx * 2) AS ticks, 3 - count(DISTINCT idx * 2) AS missing, count(*) - count(DISTINCT idx * 2) AS repeated FROM t GROUP BY ALL")
 def count_windows(spark, d):
     return streams.count_windows(_ticks(spark, d).withColumn("tick", F.col("idx") * 2))
+
+
+# Further operators
+
+
+@query(
+    f"""WITH {T}, p AS (SELECT session, idx, x, state, mask, lag(x) OVER (PARTITION BY session ORDER BY idx) AS bx FROM t)
+    SELECT session, idx, coalesce(mask % 5 = 0 AND mask % 2 = 0 AND abs(x - bx) < 20, false) AS still FROM p"""
+)
+def stillness(spark, d):
+    zero = [F.lit(0.0).alias(c) for c in ("stick_x", "stick_y", "cstick_x", "cstick_y", "y")]
+    own = _ticks(spark, d).select("session", F.lit(0).alias("player"), F.col("idx").alias("frame"), (F.col("mask") % 5).alias("state"), (F.col("mask") % 2 == 1).alias("airborne"), F.lit(0).cast("long").alias("buttons"), "x", *zero)
+    return islands.still(own, waiting=0, move=20.0).select("session", F.col("frame").alias("idx"), "still")
+
+
+@query(
+    f"""WITH {T}, n AS (SELECT session, count(*) AS n FROM t GROUP BY session)
+    SELECT session, clip, clip * 5 + 4 AS "first", clip * 5 + 13 AS "last" FROM n, unnest(generate_series(0, least(3, 1 + (n - 4 - 10) // 5) - 1)) AS u(clip) WHERE n >= 14"""
+)
+def offset_clips(spark, d):
+    sizes = _ticks(spark, d).groupBy("session").agg(F.count("*").alias("n"))
+    return windows.clips(sizes, 10, 5, offset=4, cap=3).select("session", "clip", "first", "last")
+
+
+@query(
+    """SELECT o_orderkey, round(CASE WHEN o_orderkey % 1000 < 100 THEN (o_orderkey % 1000 + 1) / 100.0::DOUBLE
+    ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey % 1000 - 100) / 700.0::DOUBLE))) END, 6) AS factor FROM orders"""
+)
+def cosine_schedule(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.round(numbers.warmup_cosine(F.col("o_orderkey") % 1000, 100, 800, 0.1), 6).alias("factor"))
+
+
+@query("SELECT 'k' AS path, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS DOUBLE) AS total FROM events")
+def deep_totals(spark, d):
+    return coverage.deep_sum(table(spark, d, "events"), "props")
+
+
+@query(f"WITH {T} SELECT session, count(*) FILTER (x > 50) AS large, count(*) FILTER (state = 'click') AS clicks, count(*) FILTER (mask % 2 = 1) AS odd FROM t GROUP BY session")
+def flag_counts(spark, d):
+    return coverage.flags(_ticks(spark, d), {"large": F.col("x") > 50, "clicks": F.col("state") == "click", "odd": F.col("mask") % 2 == 1}, "session")
+
+
+def _episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as episodes: their lines are the hits."""
+    hit = F.struct(F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("hit_count"), F.col("l_quantity").alias("damage"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(hit).alias("hits"), F.min("l_linenumber").alias("start"), F.max("l_linenumber").alias("last_hit"), F.min("l_discount").alias("start_percent"))
+    return lines.withColumn("end", F.col("last_hit") + 3).withColumn("killed", F.col("key") % 3 == 0)
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS key, sum(l_linenumber) AS n, sum(l_quantity) AS damage, min(l_linenumber) AS a, max(l_linenumber) AS b, min(l_discount) AS p FROM lineitem GROUP BY 1)
+    SELECT count(*) AS total, count(*) FILTER (key % 3 = 0) AS kills, count(*) FILTER (key % 3 = 0 AND p <= 0) AS zero_to_deaths, sum(damage) AS damage, CAST(sum(n) AS BIGINT) AS hits,
+    CAST(sum(b - a + 1) AS BIGINT) AS tight_frames, CAST(sum(b - a + 4) AS BIGINT) AS frames, count(*) FILTER (n < 8) AS hits_few, count(*) FILTER (n >= 8) AS hits_many,
+    count(*) FILTER (damage < 100) AS damage_low, count(*) FILTER (damage >= 100) AS damage_high FROM e"""
+)
+def episode_totals(spark, d):
+    return coverage.combos(_episodes(spark, d), [(8, False, "few"), (None, False, "many")], [(100, False, "low"), (None, False, "high")])
+
+
+@query("SELECT l_returnflag AS name, CAST(sum(l_linenumber) AS BIGINT) AS landed FROM lineitem GROUP BY 1")
+def landed_moves(spark, d):
+    return coverage.landed(_episodes(spark, d))
+
+
+@query("SELECT l_returnflag AS name, count(DISTINCT l_orderkey) AS episodes FROM lineitem GROUP BY 1")
+def moves_per_episode(spark, d):
+    return coverage.landed(_episodes(spark, d), once=True)
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS session, o_orderkey AS frame, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 4 - 1 AS INTEGER) END AS owner, o_orderstatus AS kind FROM orders),
+    p AS (SELECT *, lag(owner) OVER w AS before, row_number() OVER w AS rn FROM o WINDOW w AS (PARTITION BY session ORDER BY frame))
+    SELECT session, arg_min(kind, frame) AS kind, min(frame) AS "first", max(frame) AS "last", count(DISTINCT owner) AS owners, count(*) FILTER (rn > 1 AND before IS NULL AND owner BETWEEN 0 AND 3) AS pickups FROM p GROUP BY session"""
+)
+def object_spans(spark, d):
+    k = F.col("o_orderkey")
+    own = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.lit(0).alias("spawn"), k.alias("frame"), F.when(k % 4 != 0, (k % 4 - 1).cast("int")).alias("owner"), F.col("o_orderstatus").alias("kind"))
+    return islands.object_spans(own).select("session", "kind", "first", "last", F.size("owners").cast("long").alias("owners"), "pickups")
+
+
+@query(f"WITH {T} SELECT session, arg_min(x, idx) AS x FROM t WHERE x IS NOT NULL GROUP BY session")
+def first_values(spark, d):
+    return summary.first_present(_ticks(spark, d), "session", "x", "idx")
+
+
+@query(
+    f"""WITH {T}, p AS (SELECT session, (idx - 1) // 3 AS transition, idx, state, mask % 3 AS low, lag(state) OVER w AS bs, lag(mask % 3) OVER w AS bl, lag(idx) OVER w AS bi FROM t WHERE idx >= 1 WINDOW w AS (PARTITION BY session ORDER BY idx)),
+    f AS (SELECT session, transition, bi IS NOT NULL AND state IS DISTINCT FROM bs AS a, bi IS NOT NULL AND low IS DISTINCT FROM bl AS b FROM p),
+    g AS (SELECT session, transition, avg((a::INTEGER + b::INTEGER) / 2.0::DOUBLE) AS features, avg((a OR b)::INTEGER::DOUBLE) AS steps, bool_or(a OR b) AS hit FROM f GROUP BY ALL)
+    SELECT round(avg(features), 6) AS features, round(avg(steps), 6) AS steps, round(avg(hit::INTEGER::DOUBLE), 6) AS actors, round(avg(hit::INTEGER::DOUBLE), 6) AS transitions FROM g"""
+)
+def change_shares(spark, d):
+    own = _ticks(spark, d).filter("idx >= 1").select("session", F.floor((F.col("idx") - 1) / 3).alias("transition"), F.col("idx").alias("microstep"), F.lit(0).alias("player"), "state", (F.col("mask") % 3).alias("low"))
+    out = metrics.change_shares(own, ["state", "low"])
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("SELECT (SELECT count(*) FROM documents) = (SELECT count(*) FROM labels) AS agree")
+def cutover_counts(spark, d):
+    return summary.equal_counts(documents=table(spark, d, "documents"), labels=table(spark, d, "labels")).select("agree")
+
+
+@query("SELECT l_orderkey, count(*) AS entries, CAST(arg_min(l_suppkey, (l_shipdate, l_partkey, l_suppkey)) AS BIGINT) AS first_frame, CAST(arg_max(l_suppkey, (l_shipdate, l_partkey, l_suppkey)) AS BIGINT) AS last_frame, bool_or(l_linestatus = 'F') AS completed, sum(l_quantity) AS bytes FROM lineitem GROUP BY 1")
+def manifest_totals(spark, d):
+    own = table(spark, d, "lineitem").withColumn("at", F.struct("l_shipdate", "l_partkey", "l_suppkey"))
+    return summary.manifest_totals(own, "l_orderkey", "at", "l_suppkey", "l_quantity", F.col("l_linestatus") == "F")
+
+
+@query("SELECT doc_id, source, CAST(quality AS VARCHAR) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def enriched_documents(spark, d):
+    return joins.enriched(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), ["doc_id"])
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'done' ELSE 'skipped' END AS status, CASE WHEN quality = 1 THEN NULL ELSE 'not available' END AS reason FROM documents LEFT JOIN labels USING (doc_id)")
+def job_status(spark, d):
+    return joins.done_or_skipped(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", F.col("quality") == 1)
+
+
+@query("SELECT p_partkey, n_nationkey FROM (SELECT *, 'a/' || p_partkey % 30 || '.bin' AS l FROM part) JOIN nation ON p_partkey % 30 = n_nationkey")
+def stem_pairs(spark, d):
+    left = table(spark, d, "part").withColumn("l", F.concat(F.lit("a/"), (F.col("p_partkey") % 30).cast("string"), F.lit(".bin")))
+    right = table(spark, d, "nation").withColumn("r", F.concat(F.lit("b/c/"), F.col("n_nationkey").cast("string"), F.lit(".json")))
+    return joins.stem_pairs(left, right, "l", "r").select("p_partkey", "n_nationkey")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def dimension_lookup(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    own = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return own.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE CAST(n_chars % 2 AS INTEGER) IS NOT DISTINCT FROM quality")
+def matching_markers(spark, d):
+    jobs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"))
+    return joins.matching(jobs, table(spark, d, "labels").select("doc_id", "quality"), ["doc_id", "quality"]).select("doc_id")
+
+
+@query(
+    f"""WITH {T}, h AS (SELECT session // 2 AS pair, idx, count(*) AS n FROM t GROUP BY ALL)
+    SELECT t.session, t.idx FROM t JOIN h ON t.session // 2 = h.pair AND t.idx = h.idx WHERE h.n = 2 AND t.idx >= 3"""
+)
+def complete_ticks(spark, d):
+    own = _ticks(spark, d).withColumn("pair", F.floor(F.col("session") / 2))
+    return ticks.complete(ticks.playable(own, "idx", 3), 2, ("pair", "idx")).select("session", "idx")
+
+
+@query("SELECT p_partkey, (p_size // 10 > 2) OR (p_size // 10 = 2 AND p_size % 10 >= 5) AS new_enough FROM part")
+def version_gate(spark, d):
+    version = F.concat_ws(".", F.floor(F.col("p_size") / 10).cast("string"), (F.col("p_size") % 10).cast("string"))
+    return table(spark, d, "part").select("p_partkey", text.version_at_least(version, "2.5").alias("new_enough"))
+
+
+@query(
+    """WITH b AS (SELECT user_id AS node, epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)) AS age FROM events GROUP BY 1)
+    SELECT node, CASE WHEN floor(age / 86400) < 1 THEN 'alive' WHEN floor(age / 86400) < 2 THEN 'unknown' ELSE 'dead' END AS state FROM b"""
+)
+def node_states(spark, d):
+    from tickloom.streaming import health
+
+    return health.node_states(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2024-02-01 00:00:00", "user_id", stale=86400).select(F.col("user_id").alias("node"), "state")
