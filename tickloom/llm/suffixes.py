@@ -198,20 +198,19 @@ def chains(pairs: DataFrame) -> DataFrame:
 
 def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words beside each asked stretch, nearest first, as hashes."""
-    reach = WINDOW - 1
+    reach, digest = WINDOW - 1, xxhash.xxh32_intdigest
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
+        for i in range(0, b.num_rows, 50):
+            part = b.slice(i, 50)
             rows = []
             for text, asked in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 for q in asked:
                     s, e = q["s"], q["e"]
                     left, right = words[max(0, s - reach) : s][::-1], words[e : e + reach]
-                    digest = xxhash.xxh64_intdigest
                     rows.append((q["seg"], q["side"], [digest(w) >> 1 for w in left], [digest(w) >> 1 for w in right]))
             cols = list(zip(*rows)) if rows else [()] * 4
-            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["seg", "side", "lefts", "rights"])
 
 
@@ -226,7 +225,7 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Chains with their ends moved left and right on the texts: ``a, b, sa, sb, n`` of 50 words or more."""
     ask = lambda side, doc, shift: found.select(F.col(doc).alias("doc_id"), F.struct("seg", F.lit(side).alias("side"), (F.col("first") + shift).alias("s"), (F.col("last") + HEAD_WORDS + shift).alias("e")).alias("q"))
     asked = ask(0, "a", F.lit(0)).unionAll(ask(1, "b", F.col("shift"))).groupBy("doc_id").agg(F.collect_list("q").alias("asked"))
-    sides = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_context_batches, "seg long, side int, lefts array<bigint>, rights array<bigint>")
+    sides = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_context_batches, "seg long, side int, lefts array<int>, rights array<int>")
     one = lambda k: F.first(F.when(F.col("side") == k, F.struct("lefts", "rights")), ignorenulls=True)
     met = sides.groupBy("seg").agg(one(0).alias("x"), one(1).alias("y"))
     grown = met.select("seg", _agree("x.lefts", "y.lefts").alias("l"), _agree("x.rights", "y.rights").alias("r"))
