@@ -216,3 +216,27 @@ def test_em_finds_a_bad_rule(spark):
     patterns = spark.createDataFrame(rows, "v_a int, v_b int, v_c int, v_d int").groupBy("v_a", "v_b", "v_c", "v_d").agg(F.count("*").alias("n"))
     accuracy, share = quality.fit(patterns, ["a", "b", "c", "d"])
     assert abs(accuracy["a"] - 0.95) < 0.05 and abs(accuracy["c"] - 0.62) < 0.06 and abs(share - 0.8) < 0.05
+
+
+def test_expected_uses_against_enumeration():
+    pieces = {"▁": 0.2, "a": 0.3, "b": 0.1, "ab": 0.25, "▁a": 0.15}
+
+    def cuts(word):
+        if not word:
+            yield []
+        for n in range(1, len(word) + 1):
+            if word[:n] in pieces:
+                yield from ([word[:n], *rest] for rest in cuts(word[n:]))
+
+    words = {"▁ab": 3, "▁aab": 2}
+    want = Counter()
+    for w, n in words.items():
+        ways = [(c, np.prod([pieces[p] for p in c])) for c in cuts(w)]
+        total = sum(p for _, p in ways)
+        for c, p in ways:
+            for piece in c:
+                want[piece] += n * p / total
+    names = list(pieces)
+    lattice = language.Lattice(list(words), language.prefix_rows(names), len(names))
+    got = lattice.expected(np.array([*pieces.values(), language.UNKNOWN]), np.array([3.0, 2.0]))
+    assert np.allclose(got[:-1], [want[p] for p in names])

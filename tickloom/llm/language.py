@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -64,51 +64,88 @@ def vocabulary(name: str = VOCABULARY) -> frozenset[str]:
     return _vocabularies[name]
 
 
-def _arcs(word: str, pieces) -> list[list[tuple[int, str]]]:
-    """For each end, the (start, piece) that end there; an unknown character is an arc of its own."""
-    out: list[list[tuple[int, str]]] = [[]]
-    for end in range(1, len(word) + 1):
-        found = [(start, word[start:end]) for start in range(max(0, end - PIECE_LENGTH), end) if word[start:end] in pieces]
-        out.append(found if word[end - 1] in pieces else [*found, (end - 1, "")])
-    return out
-
-
-def expected_counts(words: Counter, prob: dict[str, float], pieces) -> dict[str, float]:
-    """Expected uses of each piece over all segmentations of all words."""
-    counts: dict[str, float] = {}
-    for word, n in words.items():
-        arcs = _arcs(word, pieces)
-        size = len(word)
-        fwd, bwd = [1.0] + [0.0] * size, [0.0] * size + [1.0]
-        for end in range(1, size + 1):
-            fwd[end] = sum(fwd[s] * prob.get(p, UNKNOWN) for s, p in arcs[end])
-        if fwd[size] < 1e-290:  # too long for one float; such words are rare and teach nothing
-            continue
-        for end in range(size, 0, -1):
-            back = bwd[end]
-            for s, p in arcs[end]:
-                bwd[s] += back * prob.get(p, UNKNOWN)
-        scale = n / fwd[size]
-        for end in range(1, size + 1):
-            back = bwd[end] * scale
-            for s, p in arcs[end]:
-                if p:
-                    counts[p] = counts.get(p, 0.0) + fwd[s] * prob.get(p, UNKNOWN) * back
-    return counts
-
-
-def train_language(words: Counter, pieces, rounds: int = EM_ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language, smoothed over the vocabulary."""
-    flat = 1 / max(1, len(pieces))
-    prob = dict.fromkeys(pieces, flat)
+def prefix_rows(pieces: Iterable[str]) -> dict[str, int]:
+    """A number for each piece, and -1 for what only begins pieces."""
+    rows = {p: k for k, p in enumerate(pieces)}
+    for p in list(rows):
+        for n in range(1, len(p)):
+            rows.setdefault(p[:n], -1)
+    return rows
+
+
+class Lattice:
+    """All ways to cut many words into pieces. A node is a place in a word, an arc a piece between two places;
+    a character that is no piece is an arc of its own. Arcs that end at one place of their words are one
+    step, for all words at once."""
+
+    def __init__(self, words: list[str], rows: dict[str, int], unknown: int) -> None:
+        level: list[int] = []
+        start: list[int] = []
+        row: list[int] = []
+        sizes = [len(w) for w in words]
+        base = 0
+        for w, size in zip(words, sizes):
+            for s in range(size):
+                known = False
+                for e in range(s + 1, min(size, s + PIECE_LENGTH) + 1):
+                    r = rows.get(w[s:e])
+                    if r is None:
+                        break
+                    if r >= 0:
+                        level.append(e)
+                        start.append(base + s)
+                        row.append(r)
+                        known = known or e == s + 1
+                if not known:
+                    level.append(s + 1)
+                    start.append(base + s)
+                    row.append(unknown)
+            base += size + 1
+        self.nodes = base
+        self.last = np.cumsum(np.array(sizes, np.int64) + 1) - 1
+        self.first = self.last - sizes
+        levels, starts = np.array(level, np.int64), np.array(start, np.int64)
+        self.word_of = np.repeat(np.arange(len(words)), np.array(sizes, np.int64) + 1)
+        ends = self.first[self.word_of[starts]] + levels
+        order = np.lexsort((ends, levels))
+        self.starts, self.ends, self.rows = starts[order], ends[order], np.array(row, np.int64)[order]
+        cuts = np.searchsorted(levels[order], np.arange(1, (int(levels.max()) if len(levels) else 0) + 2))
+        self.steps = [(x, y) for x, y in zip(cuts.tolist(), cuts[1:].tolist()) if y > x]
+
+    def forward(self, probs: np.ndarray) -> np.ndarray:
+        """The sums over all ways to reach each node; ``probs`` has a row for each piece."""
+        alpha = np.zeros((self.nodes, probs.shape[1]))
+        alpha[self.first] = 1.0
+        for x, y in self.steps:
+            value = alpha[self.starts[x:y]] * probs[self.rows[x:y]]
+            new = np.nonzero(np.diff(self.ends[x:y], prepend=-1))[0]
+            alpha[self.ends[x:y][new]] = np.add.reduceat(value, new, axis=0)
+        return alpha
+
+    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all ways to cut the words, ``weight`` times each."""
+        alpha = self.forward(prob[:, None])[:, 0]
+        beta = np.zeros(self.nodes)
+        beta[self.last] = 1.0
+        for x, y in reversed(self.steps):
+            np.add.at(beta, self.starts[x:y], prob[self.rows[x:y]] * beta[self.ends[x:y]])
+        scale = weight / np.maximum(alpha[self.last], 1e-300)
+        uses = alpha[self.starts] * prob[self.rows] * beta[self.ends] * scale[self.word_of[self.starts]]
+        return np.bincount(self.rows, uses, len(prob))
+
+
+def train_language(words: Counter, pieces: Iterable[str], rounds: int = EM_ROUNDS) -> dict[str, float]:
+    """Piece probabilities of one language, smoothed over the vocabulary; very long words teach nothing."""
+    names = sorted(pieces)
+    known = {w: n for w, n in sorted(words.items()) if len(w) <= CACHED_LENGTH}
+    lattice = Lattice(list(known), prefix_rows(names), len(names))
+    weight = np.array(list(known.values()), np.float64)
+    prob = np.full(len(names) + 1, 1 / max(1, len(names)))
+    prob[-1] = UNKNOWN
     for _ in range(rounds):
-        counts = expected_counts(words, prob, pieces)
-        total = sum(counts.values()) + SMOOTHING * len(pieces)
-        floor = SMOOTHING / total
-        prob = dict.fromkeys(pieces, floor)
-        for p, c in counts.items():
-            prob[p] = (c + SMOOTHING) / total
-    return prob
+        counts = lattice.expected(prob, weight)[:-1] + SMOOTHING
+        prob[:-1] = counts / counts.sum()
+    return dict(zip(names, prob.tolist()))
 
 
 def units(text: str | None) -> list[str]:
@@ -130,13 +167,7 @@ class Scorer:
 
     def __init__(self, langs: list[str], model: dict[str, np.ndarray]) -> None:
         self.langs = langs
-        #: A piece's row, or -1 for what only begins pieces.
-        self.rows: dict[str, int] = {}
-        for k, p in enumerate(model):
-            self.rows[p] = k
-        for p in model:
-            for n in range(1, len(p)):
-                self.rows.setdefault(p[:n], -1)
+        self.rows = prefix_rows(model)
         probs = np.array([*model.values(), np.full(len(langs), UNKNOWN)]) if model else np.full((1, len(langs)), UNKNOWN)
         self.probs, self.unknown = probs, len(model)
         self.index: dict[str, int] = {"": 0}
@@ -162,56 +193,14 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         """A row of log probabilities for each word, each over all its segmentations."""
-        get, unknown = self.rows.get, self.unknown
-        level: list[int] = []
-        start: list[int] = []
-        row: list[int] = []
-        last = np.zeros(len(words), np.int64)
-        long: list[int] = []
-        base = 0
-        for k, plain in enumerate(words):
-            if len(plain) > CACHED_LENGTH:
-                long.append(k)
-                continue
-            w = MARK + plain
-            size = len(w)
-            for s in range(size):
-                known = False
-                for e in range(s + 1, min(size, s + PIECE_LENGTH) + 1):
-                    r = get(w[s:e])
-                    if r is None:
-                        break
-                    if r >= 0:
-                        level.append(e)
-                        start.append(base + s)
-                        row.append(r)
-                        known = known or e == s + 1
-                if not known:
-                    level.append(s + 1)
-                    start.append(base + s)
-                    row.append(unknown)
-            last[k] = base + size
-            base += size + 1
-        n = len(self.langs)
-        alpha = np.zeros((base + 1, n))
-        if base:
-            levels, starts, rows = np.array(level), np.array(start), np.array(row)
-            sizes = last[last > 0] + 1
-            firsts = np.concatenate([[0], sizes[:-1]])
-            alpha[firsts] = 1.0
-            node0 = np.repeat(firsts, np.diff(np.append(firsts, base)))
-            ends = node0[starts] + levels
-            order = np.lexsort((ends, levels))
-            ends, starts, rows = ends[order], starts[order], rows[order]
-            cuts = np.searchsorted(levels[order], np.arange(1, int(levels.max()) + 2))
-            for x, y in zip(cuts, cuts[1:]):
-                if y > x:
-                    value = alpha[starts[x:y]] * self.probs[rows[x:y]]
-                    new = np.nonzero(np.diff(ends[x:y], prepend=-1))[0]
-                    alpha[ends[x:y][new]] = np.add.reduceat(value, new, axis=0)
-        out = np.log(np.maximum(alpha[last], 1e-300))
-        for k in long:
-            out[k] = self._long(MARK + words[k])
+        short = [k for k, w in enumerate(words) if len(w) <= CACHED_LENGTH]
+        out = np.zeros((len(words), len(self.langs)))
+        if short:
+            lattice = Lattice([MARK + words[k] for k in short], self.rows, self.unknown)
+            out[short] = np.log(np.maximum(lattice.forward(self.probs)[lattice.last], 1e-300))
+        for k, w in enumerate(words):
+            if len(w) > CACHED_LENGTH:
+                out[k] = self._long(MARK + w)
         return out
 
     def _learn(self, new: list[str]) -> None:
@@ -284,7 +273,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = EM_ROUN
         pieces = vocabulary(vocabulary_name)
         prob = train_language(Counter({MARK + w: n for w, n in zip(pdf["word"], pdf["n"]) if w}), pieces, rounds)
         floor = min(prob.values())
-        kept = {p: v for p, v in prob.items() if v > floor}
+        kept = {p: v for p, v in prob.items() if v > 1.01 * floor}
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "piece": ["", *kept], "prob": [floor, *kept.values()]})
 
     rows = counted.groupBy("lang").applyInPandas(one, "lang string, piece string, prob double").collect()
