@@ -162,3 +162,19 @@ def test_repeats_of_odd_tables(spark):
     assert suffixes.repeated_passages(df.limit(0)).count() == 0
     assert covered(suffixes.repeated_passages(df.unionAll(spark.createDataFrame([(3, text, 1)], df.schema)))) == {1: set(range(70)), 3: set(range(70))}
     assert suffixes.repeated_passages(df.withColumn("start_word", F.lit(1))).columns == ["doc_id", "start_word", "end_word", "partner_id"]
+
+
+def test_repeats_of_periodic_text(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    docs = []
+    for i, n in enumerate((400, 90, 55, 30)):
+        docs.append((i, " ".join([word() for _ in range(60)] + ["tick", "tock"] * (n // 2) + [word() for _ in range(70)] + ["tick", "tock"] * (n // 4) + [word()])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = suffixes._suffix_rows(np.array([0]), [np.array(suffixes.hashed_words(docs[0][1]), np.uint64)])
+    assert kept.num_rows < 60  # not a row for each place of the periodic text
+    got, want = covered(suffixes.repeated_passages(df)), brute_repeats(docs)
+    assert set(got) == set(want) == {0, 1, 2}
+    for i, c in want.items():
+        assert c <= got[i]
+    assert got[0] == want[0] and got[1] == want[1]

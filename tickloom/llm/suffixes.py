@@ -10,6 +10,9 @@ extended left and right word by word on the texts. Chains of 50 words or more co
 The sort is split by range over (hash, hash, document, place), so a passage that a third of all documents hold
 spreads over many tasks, and each suffix is matched with its neighbours, never with its whole group.
 
+Where a document repeats one head in places that overlap, its text is periodic there; such a stretch is matched
+at its first and last place and counts as a whole if either match does.
+
 Words are of the text in lower case (A-Z), split at white space. Defined cases: a null or empty text, or one
 of fewer than 50 words, has no suffixes; rows with a null doc_id take no part; rows of one doc_id are one
 document and don't match each other, nor does a document match itself; an empty table gives an empty result.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, prepare, partitions_for, renamed
@@ -101,38 +104,48 @@ def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _suffix_rows(ids: np.ndarray, hashed: list[np.ndarray]) -> pa.RecordBatch:
+    """Places of one head that overlap are a stretch of periodic text, kept as its first and last place."""
     doc, place, head, after = kept_suffixes(hashed)
     order = np.lexsort((place, head, doc))
     doc, place, head, after = doc[order], place[order], head[order], after[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
+    key = np.ones(len(doc), bool)
+    key[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
+    begins = key.copy()
+    begins[1:] |= place[1:] - place[:-1] > HEAD_WORDS
+    first = np.nonzero(begins)[0]
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    new = key[first]  # the first stretch of its document and head
     at = np.nonzero(new)[0]
-    counts = np.diff(np.append(at, len(doc))) - 1
+    others = np.stack([place[first], place[last]], axis=1)[~new].astype(np.int32).ravel()
+    counts = 2 * (np.diff(np.append(at, len(first))) - 1)
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(counts == 0, False))
-    more = pa.ListArray.from_arrays(offsets, pa.array(place[~new].astype(np.int32)))
-    arrays = [pa.array(head[at].view(np.int64)), pa.array(after[at].view(np.int64)), pa.array(ids[doc[at]], pa.int64()), pa.array(place[at].astype(np.int32)), more]
-    return pa.record_batch(arrays, names=["head", "after", "doc", "place", "more"])
+    more = pa.ListArray.from_arrays(offsets, pa.array(others))
+    one = first[at]
+    arrays = [pa.array(head[one].view(np.int64)), pa.array(after[one].view(np.int64)), pa.array(ids[doc[one]], pa.int64()), pa.array(place[one].astype(np.int32)), pa.array(place[last[at]].astype(np.int32)), more]
+    return pa.record_batch(arrays, names=["head", "after", "doc", "place", "end", "more"])
 
 
-_ROW = "head long, after long, doc long, place int, more array<int>"
-_PAIR = "a long, pa int, ma array<int>, b long, pb int, mb array<int>"
+_ROW = "head long, after long, doc long, place int, end int, more array<int>"
+_PAIR = "a long, pa int, ea int, ma array<int>, b long, pb int, eb int, mb array<int>"
+_SIDES = ["a", "pa", "ea", "ma", "b", "pb", "eb", "mb"]
 
 
 def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours that share a head. The partition's first and last rows go along as pairs of which
     the other side is missing, for the pairs across partitions."""
-    names = ["head", "a", "pa", "ma", "b", "pb", "mb", "part"]
+    names = ["head", *_SIDES, "part"]
     last: pa.RecordBatch | None = None
-    part = None
+
+    def side(t: pa.RecordBatch) -> list:
+        return t.columns[2:6]
 
     def pairs(t: pa.RecordBatch, i, j) -> pa.RecordBatch:
         x, y = t.take(pa.array(i)), t.take(pa.array(j))
-        return pa.record_batch([x.column(0), x.column(2), x.column(3), x.column(4), y.column(2), y.column(3), y.column(4), x.column(5)], names=names)
+        return pa.record_batch([x.column(0), *side(x), *side(y), x.column(6)], names=names)
 
     def edge(row: pa.RecordBatch, first: bool) -> pa.RecordBatch:
-        own = [row.column(2), row.column(3), row.column(4)]
-        gone = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, row.column(4).type)]
-        return pa.record_batch([row.column(0), *(own if first else gone), *(gone if first else own), row.column(5)], names=names)
+        own, gone = side(row), [pa.nulls(1, c.type) for c in side(row)]
+        return pa.record_batch([row.column(0), *(own + gone if first else gone + own), row.column(6)], names=names)
 
     for b in batches:
         if not b.num_rows:
@@ -152,7 +165,8 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def matched_neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` has ``doc_id, text``; pairs ``a, pa, ma, b, pb, mb`` of suffixes with one head, by neighbours."""
+    """``docs`` has ``doc_id, text``; pairs of neighbouring suffixes with one head. A side is the document, the
+    first and last place of its first stretch, and those of its other stretches."""
     spark = docs.sparkSession
     stored = cut(docs.mapInArrow(_suffix_batches, _ROW), "suffixes")
     n = partitions_for(stored.count(), TASK_SUFFIXES)
@@ -165,34 +179,37 @@ def matched_neighbours(docs: DataFrame) -> DataFrame:
     lasts = {r["part"]: r for r in edges if r["a"] is None}
     order = sorted(firsts)
     across = [
-        (x["b"], x["pb"], x["mb"], y["a"], y["pa"], y["ma"])
+        (x["b"], x["pb"], x["eb"], x["mb"], y["a"], y["pa"], y["ea"], y["ma"])
         for p, q in zip(order, order[1:])
         if (x := lasts[p])["head"] == (y := firsts[q])["head"] and x["b"] != y["a"]
     ]
-    pairs = found.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "pa", "ma", "b", "pb", "mb")
+    pairs = found.filter("a IS NOT NULL AND b IS NOT NULL").select(*_SIDES)
     return pairs.unionByName(spark.createDataFrame(across, _PAIR).coalesce(1)) if across else pairs
 
 
+def _stretches(start: str, end: str, more: str) -> Column:
+    rest = F.transform(F.sequence(F.lit(0), (F.size(more) / 2 - 1).cast("int")), lambda i: F.struct(F.get(more, 2 * i).alias("s"), F.get(more, 2 * i + 1).alias("e")))
+    own = F.array(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))
+    return F.when(F.col(more).isNull(), own).otherwise(F.concat(own, rest))
+
+
 def chains(pairs: DataFrame) -> DataFrame:
-    """``(seg, a, b, shift, first, last)``: runs of matches on one diagonal; ``first`` and ``last`` in a."""
+    """``(seg, a, b, shift, first, last, ...)``: runs of matches on one diagonal; ``first`` and ``last`` in a.
+    The stretches of periodic text that a match lies in go along, as ``sa..ea`` and ``sb..eb``."""
     swap = F.col("a") > F.col("b")
-    both = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb"),
-        F.when(swap, F.col("mb")).otherwise(F.col("ma")).alias("ma"), F.when(swap, F.col("ma")).otherwise(F.col("mb")).alias("mb"),
-    )
-    none = F.array().cast("array<int>")
-    one = F.struct(F.col("pa").alias("x"), F.col("pb").alias("y"))
-    every = F.concat(
-        F.array(one),
-        F.transform(F.coalesce("ma", none), lambda p: F.struct(p.alias("x"), F.col("pb").alias("y"))),
-        F.transform(F.coalesce("mb", none), lambda p: F.struct(F.col("pa").alias("x"), p.alias("y"))),
-    )
-    flat = both.select("a", "b", F.explode(every).alias("m")).select("a", "b", F.col("m.x").alias("x"), (F.col("m.y") - F.col("m.x")).alias("shift")).distinct()
+    turn = lambda x, y, n: (F.when(swap, F.col(y)).otherwise(F.col(x))).alias(n)
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[turn(k + x, k + y, k + x) for k in "pem" for x, y in ("ab", "ba")])
+    match = lambda x, y, sa, ea, sb, eb: F.struct(x.alias("x"), y.alias("y"), sa.alias("sa"), ea.alias("ea"), sb.alias("sb"), eb.alias("eb"))
+    pa_, pb_ = F.col("pa"), F.col("pb")
+    in_a = F.transform(_stretches("pa", "ea", "ma"), lambda r: F.array(match(r["s"], pb_, r["s"], r["e"], pb_, pb_), match(r["e"], pb_, r["s"], r["e"], pb_, pb_)))
+    in_b = F.transform(_stretches("pb", "eb", "mb"), lambda r: F.array(match(pa_, r["s"], pa_, pa_, r["s"], r["e"]), match(pa_, r["e"], pa_, pa_, r["s"], r["e"])))
+    every = F.array_distinct(F.flatten(F.concat(in_a, in_b)))
+    flat = both.select("a", "b", F.explode(every).alias("m")).select("a", "b", "m.*").withColumn("shift", F.col("y") - F.col("x"))
     along = Window.partitionBy("a", "b", "shift").orderBy("x")
     begins = F.coalesce(F.col("x") - F.lag("x").over(along) > HEAD_WORDS, F.lit(True)).cast("int")
     runs = flat.withColumn("begins", begins).withColumn("run", F.sum("begins").over(along))
-    found = runs.groupBy("a", "b", "shift", "run").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("run")
+    ends = [f(c).alias(n) for f, c, n in ((F.min, "x", "first"), (F.max, "x", "last"), (F.min, "sa", "sa"), (F.max, "ea", "ea"), (F.min, "sb", "sb"), (F.max, "eb", "eb"))]
+    found = runs.groupBy("a", "b", "shift", "run").agg(*ends).drop("run")
     return found.select(F.xxhash64("a", "b", "shift", "first").alias("seg"), "*")
 
 
@@ -222,17 +239,24 @@ def _agree(x: str, y: str):
 
 
 def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Chains with their ends moved left and right on the texts: ``a, b, sa, sb, n`` of 50 words or more."""
+    """Chains of 50 words or more once their ends have moved left and right on the texts: ``a, b`` and their
+    stretches ``sa..ea`` and ``sb..eb``, ends exclusive, with the periodic text that a match lies in."""
     ask = lambda side, doc, shift: found.select(F.col(doc).alias("doc_id"), F.struct("seg", F.lit(side).alias("side"), (F.col("first") + shift).alias("s"), (F.col("last") + HEAD_WORDS + shift).alias("e")).alias("q"))
     asked = ask(0, "a", F.lit(0)).unionAll(ask(1, "b", F.col("shift"))).groupBy("doc_id").agg(F.collect_list("q").alias("asked"))
     sides = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_context_batches, "seg long, side int, lefts array<int>, rights array<int>")
     one = lambda k: F.first(F.when(F.col("side") == k, F.struct("lefts", "rights")), ignorenulls=True)
     met = sides.groupBy("seg").agg(one(0).alias("x"), one(1).alias("y"))
     grown = met.select("seg", _agree("x.lefts", "y.lefts").alias("l"), _agree("x.rights", "y.rights").alias("r"))
-    out = found.join(grown, "seg")
-    start = F.col("first") - F.col("l")
-    n = F.col("last") - F.col("first") + HEAD_WORDS + F.col("l") + F.col("r")
-    return out.select("a", "b", start.alias("sa"), (start + F.col("shift")).alias("sb"), n.alias("n")).filter(F.col("n") >= LEAST_WORDS)
+    out = found.join(grown, "seg").withColumn("s", F.col("first") - F.col("l")).withColumn("e", F.col("last") + HEAD_WORDS + F.col("r"))
+    long = out.filter(F.col("e") - F.col("s") >= LEAST_WORDS)
+    return long.select(
+        "a",
+        "b",
+        F.least("s", "sa").alias("sa"),
+        F.greatest("e", F.col("ea") + HEAD_WORDS).alias("ea"),
+        F.least(F.col("s") + F.col("shift"), "sb").alias("sb"),
+        F.greatest(F.col("e") + F.col("shift"), F.col("eb") + HEAD_WORDS).alias("eb"),
+    )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +266,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
     found = cut(chains(matched_neighbours(kept)), "chains")
     runs = extended(kept, found)
-    side = lambda d, o, s: runs.select(F.col(d).alias("doc_id"), F.col(s).alias("s"), (F.col(s) + F.col("n")).alias("e"), F.col(o).alias("o"))
-    spans = cut(side("a", "b", "sa").unionAll(side("b", "a", "sb")).groupBy("doc_id", "s", "e").agg(F.min("o").alias("o")), "spans")
+    side = lambda d, o: runs.select(F.col(d).alias("doc_id"), F.col(f"s{d}").alias("s"), F.col(f"e{d}").alias("e"), F.col(o).alias("o"))
+    spans = cut(side("a", "b").unionAll(side("b", "a")).groupBy("doc_id", "s", "e").agg(F.min("o").alias("o")), "spans")
     by = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")
