@@ -11,7 +11,7 @@ a block go on. Every vector is indexed.
 
 Defined cases: a vector that is null, all zero, or holds a null or a non-finite component takes no part, nor
 does one whose length differs from that of most; ties go to the smaller vec_id; rows of one vec_id are one
-candidate each but never the query's own; fewer candidates than k are all returned.
+candidate each but never the query's own, and as a query the first of them by components counts; fewer candidates than k are all returned.
 """
 
 from __future__ import annotations
@@ -143,11 +143,10 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
     # Even blocks: vectors are dealt round-robin, and a partition is one block.
     fields = "ids binary, vectors binary, codes binary, size binary, own binary"
     indexed = usable.repartition(blocks).mapInArrow(lambda it: _blocks(it, 2 * BLOCK_ROWS, dim, True), fields)
-    held = cut(indexed.withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
-    numbers = [r["block"] for r in held.select("block").collect()]  # one number per block
-    asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(groups)
+    held = cut(indexed.withColumn("block", F.spark_partition_id()), "vector-blocks")
+    asked = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(groups)
     asked = cut(asked.mapInArrow(lambda it: _blocks(it, QUERY_ROWS, dim, False), "ids binary, vectors binary"), "query-blocks")
-    asked = asked.select(F.col("ids").alias("qids"), F.col("vectors").alias("queries"), F.explode(F.array(*map(F.lit, numbers)).cast("array<bigint>")).alias("block"))
+    asked = asked.select(F.col("ids").alias("qids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     met = asked.join(held, "block").select("qids", "queries", "ids", "vectors", "codes", "size", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
