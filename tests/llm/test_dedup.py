@@ -178,3 +178,21 @@ def test_repeats_of_periodic_text(spark):
     for i, c in want.items():
         assert c <= got[i]
     assert got[0] == want[0] and got[1] == want[1]
+
+
+def repeats_of(spark, docs):
+    return covered(suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+
+
+def test_repeats_behind_a_stem_that_all_share(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    docs = []
+    for run in range(4):
+        stem = [word() for _ in range(45)]
+        for pair in range(50):
+            more = [word() for _ in range(6)]
+            for k in range(2):
+                docs.append((len(docs), " ".join([word() for _ in range(20)] + stem + more + [word() for _ in range(20)])))
+    got = repeats_of(spark, docs)
+    assert got == brute_repeats(docs) and len(got) == len(docs)

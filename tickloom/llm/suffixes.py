@@ -1,17 +1,18 @@
 """Sparse suffix array dedup: repeated passages of ``LEAST_WORDS`` words or more across documents.
 
-Suffixes are kept only at minimisers: of every ``WINDOW`` successive k-word hashes the least, so that which
-ones are kept depends on content alone and two documents that share a passage keep the same places in it. Any
-50 shared words hold such a place in their first 16, so the suffixes there agree on 35 words at least. The
-suffixes are sorted over the whole corpus by hashes of their first 35 words and the 35 after those, neighbours
-in that order that agree on the first 35 are matched, matches on one diagonal are chained, and each chain is
-extended left and right word by word on the texts. Chains of 50 words or more count.
+Suffixes are kept only at minimisers: of every ``WINDOW`` successive k-word hashes the least, the first on a tie,
+so that which ones are kept depends on content alone and two documents that share a passage keep the same places
+in it. Each window of 50 words belongs to the place kept in its first 16, so two equal windows belong to suffixes
+that agree on 35 words at least. The work has two rounds, each a sort over the whole corpus:
 
-The sort is split by range over (hash, hash, document, place), so a passage that a third of all documents hold
-spreads over many tasks, and each suffix is matched with its neighbours, never with its whole group.
+1. The kept suffixes by a hash of their first 35 words, a row per document and head. Heads that one document
+   alone holds go; they are most.
+2. The windows that belong to a head that is left, by a hash of all their 50 words. Those that two documents hold
+   are the result, overlapping and touching ones joined. No window is left out that another document holds, so what
+   is found is whole, whatever else shares its first words, however often a document repeats them.
 
-Where a document repeats one head in places that overlap, its text is periodic there; such a stretch is matched
-at its first and last place and counts as a whole if either match does.
+The sorts are split by range over (hash, document, place), so a passage that a third of all documents hold spreads
+over many tasks, and each row meets the least documents of its group alone, never the whole group.
 
 Words are of the text in lower case (A-Z), split at white space. Defined cases: a null or empty text, or one
 of fewer than 50 words, has no suffixes; rows with a null doc_id take no part; rows of one doc_id are one
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, prepare, partitions_for, renamed
@@ -38,6 +39,8 @@ HEAD_WORDS = LEAST_WORDS - WINDOW + 1
 TASK_SUFFIXES = 500_000
 #: Words that are looked at together, about.
 STEP_WORDS = 150_000
+#: Sorted rows that are looked at together, about.
+STEP_ROWS = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -54,17 +57,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def kept_suffixes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(document, place, head, next)`` of the suffixes that are kept; head and next hash 35 words each."""
+def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, start, window, of, document of place, head)``: for each window of 50 words its document, first
+    word, hash and the number of its kept place; for each kept place its document and the hash of its 35 words."""
     sizes = np.array([len(d) for d in docs], np.int64)
     words = np.concatenate([np.zeros(0, np.uint64), *docs])
     total = len(words)
     none = np.zeros(0, np.int64)
     if total < LEAST_WORDS:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none, none, none.view(np.uint64)
     ends = np.cumsum(sizes)
     doc_of = np.repeat(np.arange(len(docs)), sizes)
-    end_of = ends[doc_of]
     power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(total - 1, _BASE)]))
     back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(total - 1, _INVERSE)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power, dtype=np.uint64)])
@@ -79,184 +82,141 @@ def kept_suffixes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     while width < WINDOW:
         packed = np.minimum(packed[:-width], packed[width:])
         width *= 2
-    first = np.arange(len(packed))
-    whole = first + WINDOW + GRAM_WORDS - 1 <= end_of[first]
-    places = np.unique(packed[whole] & low).astype(np.int64)
-    places = places[places + HEAD_WORDS <= end_of[places]]
-    left = np.minimum(end_of[places] - places - HEAD_WORDS, HEAD_WORDS)
-    heads = range_hash(places, HEAD_WORDS)
-    after = np.minimum(places + HEAD_WORDS, total - 1)
-    nexts = _mixed((sums[places + HEAD_WORDS + left] - sums[places + HEAD_WORDS]) * back[after])
-    doc = doc_of[places]
-    return doc, places - (ends[doc] - sizes[doc]), heads, nexts
+    first = np.arange(total - LEAST_WORDS + 1)
+    first = first[first + LEAST_WORDS <= ends[doc_of[first]]]
+    places, of = np.unique((packed[first] & low).astype(np.int64), return_inverse=True)
+    doc = doc_of[first]
+    return doc, first - (ends[doc] - sizes[doc]), range_hash(first, LEAST_WORDS), of, doc_of[places], range_hash(places, HEAD_WORDS)
 
 
-def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document and head: its first place, and the others, if there are any, in ``more``."""
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches, whose second column is the text, with the hashed words of each."""
     for b in batches:
         start, n, hashed = 0, 0, []
         for k, text in enumerate(b.column(1).to_pylist()):
             hashed.append(np.array(hashed_words(text), np.uint64))
             n += len(hashed[-1])
             if n >= STEP_WORDS or k + 1 == b.num_rows:
-                yield _suffix_rows(b.column(0).slice(start, len(hashed)).to_numpy(zero_copy_only=False), hashed)
+                yield b.slice(start, len(hashed)), hashed
                 start, n, hashed = k + 1, 0, []
 
 
-def _suffix_rows(ids: np.ndarray, hashed: list[np.ndarray]) -> pa.RecordBatch:
-    """Places of one head that overlap are a stretch of periodic text, kept as its first and last place."""
-    doc, place, head, after = kept_suffixes(hashed)
-    order = np.lexsort((place, head, doc))
-    doc, place, head, after = doc[order], place[order], head[order], after[order]
-    key = np.ones(len(doc), bool)
-    key[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
-    begins = key.copy()
-    begins[1:] |= place[1:] - place[:-1] > HEAD_WORDS
-    first = np.nonzero(begins)[0]
-    last = np.append(first[1:], len(doc))[: len(first)] - 1
-    new = key[first]  # the first stretch of its document and head
-    at = np.nonzero(new)[0]
-    others = np.stack([place[first], place[last]], axis=1)[~new].astype(np.int32).ravel()
-    counts = 2 * (np.diff(np.append(at, len(first))) - 1)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(counts == 0, False))
-    more = pa.ListArray.from_arrays(offsets, pa.array(others))
-    one = first[at]
-    arrays = [pa.array(head[one].view(np.int64)), pa.array(after[one].view(np.int64)), pa.array(ids[doc[one]], pa.int64()), pa.array(place[one].astype(np.int32)), pa.array(place[last[at]].astype(np.int32)), more]
-    return pa.record_batch(arrays, names=["head", "after", "doc", "place", "end", "more"])
-
-
-_ROW = "head long, after long, doc long, place int, end int, more array<int>"
-_PAIR = "a long, pa int, ea int, ma array<int>, b long, pb int, eb int, mb array<int>"
-_SIDES = ["a", "pa", "ea", "ma", "b", "pb", "eb", "mb"]
-
-
-def _neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours that share a head. The partition's first and last rows go along as pairs of which
-    the other side is missing, for the pairs across partitions."""
-    names = ["head", *_SIDES, "part"]
-    last: pa.RecordBatch | None = None
-
-    def side(t: pa.RecordBatch) -> list:
-        return t.columns[2:6]
-
-    def pairs(t: pa.RecordBatch, i, j) -> pa.RecordBatch:
-        x, y = t.take(pa.array(i)), t.take(pa.array(j))
-        return pa.record_batch([x.column(0), *side(x), *side(y), x.column(6)], names=names)
-
-    def edge(row: pa.RecordBatch, first: bool) -> pa.RecordBatch:
-        own, gone = side(row), [pa.nulls(1, c.type) for c in side(row)]
-        return pa.record_batch([row.column(0), *(own + gone if first else gone + own), row.column(6)], names=names)
+def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, hashed in _steps(batches):
+        yield _suffix_rows(part.column(0).to_numpy(zero_copy_only=False), hashed)
 
+
+def _suffix_rows(ids: np.ndarray, hashed: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per document and head, however often the document repeats it."""
+    doc, head = windows(hashed)[4:]
+    order = np.lexsort((head, doc))
+    doc, head = doc[order], head[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
+    return pa.record_batch([pa.array(head[new].view(np.int64)), pa.array(ids[doc[new]], pa.int64())], names=["key", "doc"])
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows whose head is among the asked ones. A head that is asked for one document is asked for
+    every document that has it, so those of a step can be looked up together."""
+    for part, hashed in _steps(batches):
+        doc, start, window, of, _, head = windows(hashed)
+        asked = part.column(2).flatten().to_numpy(zero_copy_only=False)
+        kept = np.isin(head.view(np.int64), asked)[of]
+        ids = part.column(0).to_numpy(zero_copy_only=False)[doc[kept]]
+        yield pa.record_batch([pa.array(window[kept].view(np.int64)), pa.array(ids, pa.int64()), pa.array(start[kept].astype(np.int32))], names=["key", "doc", "start"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
     for b in batches:
-        if not b.num_rows:
+        held.append(b)
+        n += b.num_rows
+        if n >= STEP_ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and document, those whose key another document holds, with the least such one as
+    ``other``. All rows of the partition's first and last key go along with no ``other``: their groups may reach
+    into other partitions."""
+    first, rest = None, None
+    for t in _gathered(batches):
+        t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+        key, doc = (t.column(k).to_numpy() for k in (0, 1))
+        first = key[0] if first is None else first
+        n = int(np.searchsorted(key, key[-1]))
+        rest = t.slice(n)
+        if not n:
             continue
-        if last is None:
-            yield edge(b.slice(0, 1), True)
-            t = b
-        else:
-            t = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-        head, doc = (t.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-        same = np.nonzero((head[1:] == head[:-1]) & (doc[1:] != doc[:-1]))[0]
-        if len(same):
-            yield pairs(t, same, same + 1)
-        last = t.slice(t.num_rows - 1, 1)
-    if last is not None:
-        yield edge(last, False)
-
-
-def matched_neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` has ``doc_id, text``; pairs of neighbouring suffixes with one head. A side is the document, the
-    first and last place of its first stretch, and those of its other stretches."""
-    spark = docs.sparkSession
-    stored = cut(docs.mapInArrow(_suffix_batches, _ROW), "suffixes")
-    n = partitions_for(stored.count(), TASK_SUFFIXES)
-    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = ["head", "after", "doc", "place"]
-    ranged = stored.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-    found = cut(ranged.mapInArrow(_neighbour_batches, f"head long, {_PAIR}, part int"), "neighbours")
-    edges = found.filter("a IS NULL OR b IS NULL").collect()  # two per partition
-    firsts = {r["part"]: r for r in edges if r["b"] is None}
-    lasts = {r["part"]: r for r in edges if r["a"] is None}
-    order = sorted(firsts)
-    across = [
-        (x["b"], x["pb"], x["eb"], x["mb"], y["a"], y["pa"], y["ea"], y["ma"])
-        for p, q in zip(order, order[1:])
-        if (x := lasts[p])["head"] == (y := firsts[q])["head"] and x["b"] != y["a"]
-    ]
-    pairs = found.filter("a IS NOT NULL AND b IS NOT NULL").select(*_SIDES)
-    return pairs.unionByName(spark.createDataFrame(across, _PAIR).coalesce(1)) if across else pairs
-
-
-def _stretches(start: str, end: str, more: str) -> Column:
-    rest = F.transform(F.sequence(F.lit(0), (F.size(more) / 2 - 1).cast("int")), lambda i: F.struct(F.get(more, 2 * i).alias("s"), F.get(more, 2 * i + 1).alias("e")))
-    own = F.array(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))
-    return F.when(F.col(more).isNull(), own).otherwise(F.concat(own, rest))
-
-
-def chains(pairs: DataFrame) -> DataFrame:
-    """``(seg, a, b, shift, first, last, ...)``: runs of matches on one diagonal; ``first`` and ``last`` in a.
-    The stretches of periodic text that a match lies in go along, as ``sa..ea`` and ``sb..eb``."""
-    swap = F.col("a") > F.col("b")
-    turn = lambda x, y, n: (F.when(swap, F.col(y)).otherwise(F.col(x))).alias(n)
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[turn(k + x, k + y, k + x) for k in "pem" for x, y in ("ab", "ba")])
-    match = lambda x, y, sa, ea, sb, eb: F.struct(x.alias("x"), y.alias("y"), sa.alias("sa"), ea.alias("ea"), sb.alias("sb"), eb.alias("eb"))
-    pa_, pb_ = F.col("pa"), F.col("pb")
-    in_a = F.transform(_stretches("pa", "ea", "ma"), lambda r: F.array(match(r["s"], pb_, r["s"], r["e"], pb_, pb_), match(r["e"], pb_, r["s"], r["e"], pb_, pb_)))
-    in_b = F.transform(_stretches("pb", "eb", "mb"), lambda r: F.array(match(pa_, r["s"], pa_, pa_, r["s"], r["e"]), match(pa_, r["e"], pa_, pa_, r["s"], r["e"])))
-    every = F.array_distinct(F.flatten(F.concat(in_a, in_b)))
-    flat = both.select("a", "b", F.explode(every).alias("m")).select("a", "b", "m.*").withColumn("shift", F.col("y") - F.col("x"))
-    along = Window.partitionBy("a", "b", "shift").orderBy("x")
-    begins = F.coalesce(F.col("x") - F.lag("x").over(along) > HEAD_WORDS, F.lit(True)).cast("int")
-    runs = flat.withColumn("begins", begins).withColumn("run", F.sum("begins").over(along))
-    ends = [f(c).alias(n) for f, c, n in ((F.min, "x", "first"), (F.max, "x", "last"), (F.min, "sa", "sa"), (F.max, "ea", "ea"), (F.min, "sb", "sb"), (F.max, "eb", "eb"))]
-    found = runs.groupBy("a", "b", "shift", "run").agg(*ends).drop("run")
-    return found.select(F.xxhash64("a", "b", "shift", "first").alias("seg"), "*")
-
-
-def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words beside each asked stretch, nearest first, as hashes."""
-    reach, digest = WINDOW - 1, xxhash.xxh32_intdigest
+        key, doc = key[:n], doc[:n]
+        at = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+        size = np.diff(np.append(at, n))
+        group = np.repeat(np.arange(len(at)), size)
+        least = doc[at]
+        own = doc == least[group]
+        lead = np.add.reduceat(own, at, dtype=np.int64)
+        second = doc[np.minimum(at + lead, n - 1)]
+        edge = key == first
+        kept = edge | (lead < size)[group]
+        other = pa.array(np.where(own, second[group], least[group]), mask=edge)
+        out = t.slice(0, n).append_column("other", other).filter(pa.array(kept))
+        yield from out.to_batches()
+    if rest is not None:
+        yield from rest.append_column("other", pa.nulls(rest.num_rows, pa.int64())).to_batches()
+
+
+def _least_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two least documents of each key of a task; only the partitions' first and last keys come here."""
+    found: dict[int, list[int]] = {}
     for b in batches:
-        for i in range(0, b.num_rows, 50):
-            part = b.slice(i, 50)
-            rows = []
-            for text, asked in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                for q in asked:
-                    s, e = q["s"], q["e"]
-                    left, right = words[max(0, s - reach) : s][::-1], words[e : e + reach]
-                    rows.append((q["seg"], q["side"], [digest(w) >> 1 for w in left], [digest(w) >> 1 for w in right]))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["seg", "side", "lefts", "rights"])
-
-
-def _agree(x: str, y: str):
-    """How many leading elements of two arrays agree."""
-    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
-    miss = F.array_position(same, False)
-    return F.when(miss == 0, F.size(same)).otherwise(miss - 1).cast("int")
-
-
-def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Chains of 50 words or more once their ends have moved left and right on the texts: ``a, b`` and their
-    stretches ``sa..ea`` and ``sb..eb``, ends exclusive, with the periodic text that a match lies in."""
-    ask = lambda side, doc, shift: found.select(F.col(doc).alias("doc_id"), F.struct("seg", F.lit(side).alias("side"), (F.col("first") + shift).alias("s"), (F.col("last") + HEAD_WORDS + shift).alias("e")).alias("q"))
-    asked = ask(0, "a", F.lit(0)).unionAll(ask(1, "b", F.col("shift"))).groupBy("doc_id").agg(F.collect_list("q").alias("asked"))
-    sides = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_context_batches, "seg long, side int, lefts array<int>, rights array<int>")
-    one = lambda k: F.first(F.when(F.col("side") == k, F.struct("lefts", "rights")), ignorenulls=True)
-    met = sides.groupBy("seg").agg(one(0).alias("x"), one(1).alias("y"))
-    grown = met.select("seg", _agree("x.lefts", "y.lefts").alias("l"), _agree("x.rights", "y.rights").alias("r"))
-    out = found.join(grown, "seg").withColumn("s", F.col("first") - F.col("l")).withColumn("e", F.col("last") + HEAD_WORDS + F.col("r"))
-    long = out.filter(F.col("e") - F.col("s") >= LEAST_WORDS)
-    return long.select(
-        "a",
-        "b",
-        F.least("s", "sa").alias("sa"),
-        F.greatest("e", F.col("ea") + HEAD_WORDS).alias("ea"),
-        F.least(F.col("s") + F.col("shift"), "sb").alias("sb"),
-        F.greatest(F.col("e") + F.col("shift"), F.col("eb") + HEAD_WORDS).alias("eb"),
-    )
+        key, doc = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for k in np.unique(key).tolist():
+            found[k] = np.unique(np.concatenate([doc[key == k], np.array(found.get(k, []), np.int64)]))[:2].tolist()
+    rows = [(k, d) for k, docs in found.items() for d in docs]
+    cols = list(zip(*rows)) if rows else [(), ()]
+    yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["key", "doc"])
+
+
+def _closed_batches(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose key is among ``pairs`` (key, its two least documents), with the least other document."""
+    for b in batches:
+        if not b.num_rows or not len(pairs):
+            continue
+        key, doc = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        at = np.minimum(np.searchsorted(pairs[:, 0], key), len(pairs) - 1)
+        other = np.where(doc == pairs[at, 1], pairs[at, 2], pairs[at, 1])
+        out = pa.record_batch([*b.columns[:-1], pa.array(other)], names=b.schema.names)
+        yield out.filter(pa.array(pairs[at, 0] == key))
+
+
+def shared(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """``rows`` (``key``, ``doc``, others) whose key another document holds, with the least such document as ``other``."""
+    by = rows.columns
+    ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = cut(ranged.mapInArrow(_shared_batches, f"{fields}, other long"), name)
+    edges = found.filter("other IS NULL")
+    least: dict[int, set[int]] = {}
+    for r in edges.select("key", "doc").mapInArrow(_least_batches, "key long, doc long").collect():  # a few per partition
+        least[r["key"]] = set(sorted(least.get(r["key"], set()) | {r["doc"]})[:2])
+    pairs = np.array([(k, *sorted(d)) for k, d in sorted(least.items()) if len(d) == 2], np.int64).reshape(-1, 3)
+    closed = edges.mapInArrow(lambda it: _closed_batches(it, pairs), found.schema)
+    return found.filter("other IS NOT NULL").unionAll(closed)
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """``docs`` has ``doc_id, text``; ``(doc, start, other)``: the windows that other documents hold too."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = cut(docs.mapInArrow(_suffix_batches, "key long, doc long"), "suffixes")
+    heads = shared(stored, max(least, partitions_for(stored.count(), TASK_SUFFIXES)), "heads").select("key", "doc")
+    n = heads.count() * WINDOW // 2  # a kept place has about so many windows
+    asked = heads.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("asked"))
+    found = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_window_batches, "key long, doc long, start int")
+    return shared(found, max(least, partitions_for(n, TASK_SUFFIXES)), "windows").select("doc", "start", "other")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,12 +224,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     too, overlapping ones joined, with the smallest matched document."""
     prepare(docs.sparkSession)
     kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
-    found = cut(chains(matched_neighbours(kept)), "chains")
-    runs = extended(kept, found)
-    side = lambda d, o: runs.select(F.col(d).alias("doc_id"), F.col(f"s{d}").alias("s"), F.col(f"e{d}").alias("e"), F.col(o).alias("o"))
-    spans = cut(side("a", "b").unionAll(side("b", "a")).groupBy("doc_id", "s", "e").agg(F.min("o").alias("o")), "spans")
-    by = Window.partitionBy("doc_id").orderBy("s", "e")
-    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")
-    merged = spans.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by))
-    return merged.groupBy("doc_id", "run").agg(F.min("s").cast("long").alias("start_word"), F.max("e").cast("long").alias("end_word"), F.min("o").alias("partner_id")).drop("run")
+    found = shared_windows(kept)
+    by = Window.partitionBy("doc").orderBy("start")
+    begins = F.coalesce(F.col("start") - F.lag("start").over(by) > LEAST_WORDS, F.lit(True)).cast("int")
+    merged = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min("start").cast("long").alias("start_word"), (F.max("start") + LEAST_WORDS).cast("long").alias("end_word"), F.min("other").alias("partner_id")]
+    return merged.groupBy(F.col("doc").alias("doc_id"), "run").agg(*ends).drop("run")
