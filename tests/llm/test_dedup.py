@@ -196,3 +196,16 @@ def test_repeats_behind_a_stem_that_all_share(spark):
                 docs.append((len(docs), " ".join([word() for _ in range(20)] + stem + more + [word() for _ in range(20)])))
     got = repeats_of(spark, docs)
     assert got == brute_repeats(docs) and len(got) == len(docs)
+
+
+def test_repeats_whose_head_stands_twice_in_both(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    docs = []
+    for pair in range(100):
+        stem = [word() for _ in range(45)]
+        more = [word() for _ in range(8)]
+        for k in range(2):
+            docs.append((len(docs), " ".join([word() for _ in range(20)] + stem + [word() for _ in range(20)] + stem + more + [word() for _ in range(20)])))
+    got = repeats_of(spark, docs)
+    assert got == brute_repeats(docs) and len(got) == len(docs)
