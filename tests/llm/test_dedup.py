@@ -209,3 +209,16 @@ def test_repeats_whose_head_stands_twice_in_both(spark):
             docs.append((len(docs), " ".join([word() for _ in range(20)] + stem + [word() for _ in range(20)] + stem + more + [word() for _ in range(20)])))
     got = repeats_of(spark, docs)
     assert got == brute_repeats(docs) and len(got) == len(docs)
+
+
+def test_repeats_from_the_middle_of_a_repeated_line(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    docs = []
+    for trial in range(150):
+        line = [word() for _ in range(20)]
+        start = rng.randrange(20, 50)
+        for body in (line * 6, (line * 6)[start : start + 50]):
+            docs.append((len(docs), " ".join([word() for _ in range(20)] + body + [word() for _ in range(20)])))
+    got = repeats_of(spark, docs)
+    assert got == brute_repeats(docs) and len(got) == len(docs)
