@@ -273,3 +273,11 @@ def test_vectors(spark):
     assert len(code.code) == 2 and max(map(abs, code.code)) == 127
     img = rng.integers(0, 255, (32, 32))
     assert vectors.best_shift(img, np.roll(img, (-2, -3), (0, 1)), 4, 1)[:2] == (3, 2)
+
+
+def test_team_winner_by_percent_and_null_team(spark):
+    rows = [(1, "a", 2, 50.0), (1, "b", 1, 10.0), (1, "b", 1, 20.0), (2, "a", 2, 5.0), (2, "b", 2, 5.0), (3, "a", 3, 0.0), (3, None, 1, 0.0), (4, "a", 2, None), (4, "b", 2, 1.0), (5, "a", 2, 9.0), (5, "b", None, 0.0)]
+    df = spark.createDataFrame(rows, "session long, team string, stocks long, percent double")
+    won = lambda **k: {r.session: r.winner for r in summary.team_winner(df, **k).collect()}
+    assert won(percent="percent") == {1: "b", 2: None, 3: None, 4: "a", 5: None}
+    assert won() == {1: None, 2: None, 3: None, 4: None, 5: None}

@@ -66,12 +66,16 @@ def ranked(players: DataFrame, session: str = "session", player: str = "player",
     return out.withColumn("winner", F.max("_w").over(Window.partitionBy(session))).drop("_w")
 
 
-def team_winner(players: DataFrame, session: str = "session", team: str = "team", stocks: str = "stocks") -> DataFrame:
-    """The team with most stocks per session; null on a tie or where any member's stocks are unknown."""
-    teams = players.groupBy(session, team).agg(F.sum(stocks).alias("_s"), F.bool_or(F.col(stocks).isNull()).alias("_u"))
-    order = Window.partitionBy(session).orderBy(F.desc_nulls_last("_s"), F.col(team))
-    top = teams.withColumn("_next", F.lead("_s").over(order)).withColumn("_rn", F.row_number().over(order)).withColumn("_any", F.bool_or("_u").over(Window.partitionBy(session)))
-    sure = ~F.col("_any") & ~F.coalesce(F.col("_next") == F.col("_s"), F.lit(False))
+def team_winner(players: DataFrame, session: str = "session", team: str = "team", stocks: str = "stocks", percent: str | None = None) -> DataFrame:
+    """The team with most stocks per session, then with least percent (null is 0), if there is such a column; null
+    on a tie or where any member's team or stocks are unknown."""
+    hurt = F.sum(F.coalesce(F.col(percent).cast("double"), F.lit(0.0))) if percent else F.lit(0.0)
+    unknown = F.bool_or(F.col(team).isNull() | F.col(stocks).isNull())
+    teams = players.groupBy(session, team).agg(F.sum(stocks).alias("_s"), hurt.alias("_p"), unknown.alias("_u"))
+    order = Window.partitionBy(session).orderBy(F.desc_nulls_last("_s"), F.col("_p"), F.col(team))
+    tied = (F.lead("_s").over(order) == F.col("_s")) & (F.lead("_p").over(order) == F.col("_p"))
+    top = teams.withColumn("_tied", tied).withColumn("_rn", F.row_number().over(order)).withColumn("_any", F.bool_or("_u").over(Window.partitionBy(session)))
+    sure = ~F.col("_any") & ~F.coalesce("_tied", F.lit(False))
     return top.filter("_rn = 1").select(session, F.when(sure, F.col(team)).alias("winner"))
 
 
