@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tickloom.scratch import cut
 
+#: Rows of one range partition, about.
+RANGE_ROWS = 1_000_000
+
 
 def all_references(*sources: DataFrame, reference: str = "reference") -> DataFrame:
     """The references of all sources in one order."""
@@ -16,25 +19,31 @@ def all_references(*sources: DataFrame, reference: str = "reference") -> DataFra
     return out.orderBy(reference)
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "sample") -> DataFrame:
-    """Numbers from 0 in a total order.
+def running(rows: DataFrame, order: list[str], name: str = "before", value: str | None = None) -> DataFrame:
+    """The sum of ``value`` (or the number of rows) before each row, in a total order, as the column ``name``.
 
-    Rows are range-partitioned by the order, each partition numbers its own, and partition counts give the
-    starts, so that no task sees all rows.
+    Rows are range-partitioned by the order, each partition sums its own, and the partitions' totals give the
+    starts, so that no task sees all rows. The totals, a row for each partition, are joined by broadcast.
     """
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
     # Stored, as range bounds are sampled anew whenever the shuffle is planned again.
-    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    amount = F.lit(1).cast("long") if value is None else F.col(value)
+    totals = [(r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.coalesce(F.sum(amount), F.lit(0)).cast("long").alias("n")).orderBy("_part").collect()]
     starts, total = [], 0
-    for part in sorted(counts):  # one entry per partition
-        starts += [F.lit(part), F.lit(total).cast("long")]
-        total += counts[part]
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    if not starts:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    return ranged.withColumn(name, local + F.element_at(F.create_map(*starts), F.col("_part"))).drop("_part")
+    for part, n in totals:
+        starts.append((part, total))
+        total += n
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(spark.createDataFrame(starts, "_part int, _first long").coalesce(1))
+    summed = ranged.withColumn(name, F.coalesce(F.sum(amount).over(inner), F.lit(0)).cast("long")).join(first, "_part")
+    return summed.withColumn(name, F.col(name) + F.col("_first")).drop("_part", "_first")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "sample") -> DataFrame:
+    """Numbers from 0 in a total order."""
+    return running(rows, list(order), name)
 
 
 def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
