@@ -1,7 +1,9 @@
 """Mixing, packing, sharding and vector search against plain versions."""
 
+import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -34,7 +36,8 @@ def plain_targets(sizes):
         held |= over
 
 
-def check_mix(rows, docs):
+def check_mix(rows, docs, block):
+    """Figures of every row, and each source within a few blocks of its target."""
     sizes = defaultdict(int)
     for _, text, source in docs:
         sizes[source] += len(WORD.findall(text or ""))
@@ -46,59 +49,113 @@ def check_mix(rows, docs):
         text, source = by_id[r.doc_id]
         assert r.size == len(WORD.findall(text or "")) and r.source_size == sizes[source]
         assert r.target == pytest.approx(targets[source])
-        assert 0 <= r.taken <= 3 * r.size
+        assert 0 <= r.taken <= 3 * r.size and (r.first_slot is not None) == (r.taken > 0)
         taken[source] += r.taken
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= 1
+        assert abs(taken[s] - t) <= 5 * block
+
+
+def plain_mix(docs, block=None, step=mixing.STEP):
+    """Slot by slot: the point names a source, whose stream is read on by a block."""
+    sizes = defaultdict(int)
+    for _, text, source in docs:
+        sizes[source] += len(WORD.findall(text or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = [int(plain_targets(sizes)[s] + 1e-9) for s in names]
+    whole = sum(goals)
+    block = block or max(1, min(mixing.BLOCK_TOKENS, whole // mixing.SLOTS))
+    order, taken, first = {}, defaultdict(int), {}
+    for s in names:
+        place = lambda d: hashlib.md5(f"{'' if d[0] is None else d[0]}|17|{hashlib.md5((d[1] or '').encode()).hexdigest()}".encode()).hexdigest()
+        order[s] = [i for i, t, _ in sorted((d for d in docs if d[2] == s), key=place) for _ in WORD.findall(t or "")]
+    at = dict.fromkeys(names, 0)
+    ends = np.cumsum(goals) / whole
+    for slot in range(-(-whole // block)):
+        s = names[int(np.searchsorted(ends, (slot + 1) * step % 1.0, side="right"))]
+        for k in range(at[s], min(at[s] + block, 3 * sizes[s])):
+            i = order[s][k % sizes[s]]
+            taken[i] += 1
+            first.setdefault(i, slot)
+        at[s] += block
+    return {i: (taken[i], first.get(i)) for i, _, _ in docs}
 
 
 def test_mix_query(spark, sf):
     docs = [(r.doc_id, r.text, r.source) for r in table(spark, sf, "documents").collect()]
     rows = queries.op3_mixing(spark, sf).collect()
-    check_mix(rows, docs)
+    check_mix(rows, docs, 1 + sum(r.size for r in rows) // mixing.SLOTS)
+    assert {r.doc_id: (r.taken, r.first_slot) for r in rows} == plain_mix(docs)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP3_SQL})").fetchall()}
-    assert {r.doc_id: (r.size, r.source_size, pytest.approx(r.target), r.taken) for r in rows} == want
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, size, source_size, target, taken, first_slot FROM ({queries.OP3_SQL})").fetchall()}
+    assert {r.doc_id: (r.size, r.source_size, r.target, r.taken, r.first_slot) for r in rows} == want
     assert sorted(queries.op3_mixing(spark, sf).collect()) == sorted(rows)
 
 
 @pytest.mark.parametrize("block", [1, 7, 64, 10_000])
-def test_mix_any_block_and_bucket(spark, monkeypatch, block):
+def test_mix_any_block(spark, monkeypatch, block):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 16)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 2)
     rng = random.Random(block)
     docs = [(i, " ".join(["w"] * rng.randrange(0, 60)) if i % 9 else None, rng.choice(["a", "a", "a", "b", "é", None, "z"])) for i in range(150)]
     docs.append((1000, "x " * 4000, "a"))
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = mixing.mix(df, block=block).collect()
-    check_mix(rows, docs)
-    assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).collect()}
+    check_mix(rows, docs, block)
+    assert {r.doc_id: (r.taken, r.first_slot) for r in rows} == plain_mix(docs, block)
+    assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(5), block=block).collect()}
+
+
+def test_the_points_decide(spark, monkeypatch):
+    docs = [(i, "w " * (i % 30), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == {i: t for i, (t, _) in plain_mix(docs).items()}
+    monkeypatch.setattr(mixing, "STEP", 0.0)
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == {i: t for i, (t, _) in plain_mix(docs, step=0.0).items()}
+    assert {r.source for r in mixing.mixed(df).collect()} == {"a"}
 
 
 def test_schedule_follows_the_shares(spark):
     targets = spark.createDataFrame([(1, 6000.0, 9000), (2, 3000.0, 1000), (3, 1.0, 50), (4, 0.0, 0)], "sid int, target double, source_size long")
-    rows = mixing.schedule(targets, 10).orderBy("slot", "sid", "rank").collect()
+    rows = mixing.schedule(targets, 10).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(901))
     counts = defaultdict(list)
     for r in rows:
         counts[r.sid].append(r["rank"])
-    assert {k: sorted(v) == list(range(n)) for (k, v), n in zip(sorted(counts.items()), (600, 300, 1))} == {1: True, 2: True, 3: True}
-    for n in (90, 300, 600):
-        assert abs(sum(r.sid == 1 for r in rows[:n]) - n * 600 / 901) < 8
-
-
-def test_mixed_documents(spark):
-    df = spark.createDataFrame([(i, f"  a{i} b\tc{i}\n d ", "x" if i else "y", 9, "k") for i in range(30)] + [(50, None, "y", 0, "k"), (51, "", None, 0, "k")], "doc_id long, text string, source string, n_chars long, size string")
-    out = mixing.mixed(df)
-    assert out.columns == df.columns
-    words = defaultdict(int)
-    for r in out.collect():
-        words[r.doc_id] += len(WORD.findall(r.text))
-        assert df.filter(F.col("doc_id") == r.doc_id).first().text.startswith(r.text) and r.n_chars == len(r.text)
-    assert dict(words) == {r.doc_id: r.taken for r in mixing.mix(df).collect() if r.taken}
+    assert all(v == list(range(len(v))) for v in counts.values()) and 4 not in counts
+    for n in (90, 300, 600, 901):
+        assert abs(sum(r.sid == 1 for r in rows[:n]) - n * 6000 / 9001) < 4
+
+
+def test_mixed_documents(spark, tmp_path):
+    made = spark.createDataFrame([(i, f"  a{i} b\tc{i}\n d ", "x" if i else "y", 9, "k") for i in range(30)] + [(50, None, "y", 0, "k"), (51, "", None, 0, "k")], "doc_id long, text string, source string, n_chars long, size string")
+    made.write.parquet(f"{tmp_path}/docs")
+    for df in (made, spark.read.parquet(f"{tmp_path}/docs")):
+        out = mixing.mixed(df)
+        assert out.columns == df.columns
+        words, slots = defaultdict(int), {r.doc_id: r.first_slot for r in mixing.mix(df).collect()}
+        first = []
+        for r in out.collect():
+            if r.doc_id not in words:
+                first.append(slots[r.doc_id])
+            words[r.doc_id] += len(WORD.findall(r.text))
+            assert df.filter(F.col("doc_id") == r.doc_id).first().text.startswith(r.text) and r.n_chars == len(r.text)
+        assert dict(words) == {r.doc_id: r.taken for r in mixing.mix(df).collect() if r.taken}
+        assert first == sorted(first)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mix(df.filter("doc_id >= 50")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    docs = [(None, f"w{i} a b c", "s") for i in range(40)] + [(7, "one two three", "t")] * 20 + [(8, "x y", None), (8, "z", None), (None, None, "s")]
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, source string, row long, target string")
+    rows = mixing.mix(df).collect()
+    assert len(rows) == len(docs) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+    taken = sum(r.taken for r in rows)
+    assert abs(taken - sum(r.size for r in rows)) <= 4
+    assert sum(len(r.text.split()) for r in mixing.mixed(df).collect()) == taken
+
+
 def check_packing(rows, docs, limit=2048):
     tk = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     ids = {i: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in docs}
@@ -142,6 +199,24 @@ def test_packing_odd_texts(spark):
     assert zlib.crc32(bytes(kept.ids)) == kept.ids_crc32
 
 
+MARKS = "\u0307\u0301\u093c\u05bc\u0338\u200d\u0130\u0958\u095c\ufb1d\ufb2a\u1e9e\u03a3"
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(".,$!-_'s|<>=?0a" + MARKS)), max_size=8), max_size=6))
+def test_ids_of_any_text(words):
+    enc = packing.encoder()
+    texts = [" ".join(words), *words, *(w + "." for w in words), *("$" + unicodedata.normalize("NFD", w) for w in words)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+    assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("text", ["aİ.", "İ$", "क़.", "ड़,", "יִ.", "שׁ!", "a\u0338=", "=\u0338a."])
+def test_ids_of_letters_that_end_in_marks(text):
+    want = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder().encode([text])[0], "<u4").tolist() == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=80))
 def test_search_never_worsens(lengths):

@@ -1,163 +1,170 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Slots are numbered; slot i has the point frac((i + 1) / golden ratio), and the source whose interval of the
-cumulative target shares holds the point. A source's slots are ranked, and the slot of rank r takes block r of
-the source's stream: its documents in shuffled order, end to end, cut into blocks of equal tokens and read
-again from the start as often as the target needs. The last block of a source is cut at its target. All of it
-is DataFrame functions; hot sources are split by hash into buckets whose totals give each bucket its start.
+Slots are numbered; slot i has the point frac((i + 1) / golden ratio), and it belongs to the source whose interval
+of the cumulative target shares holds the point. So the points alone decide how many slots a source gets, and in
+which order; golden-ratio points keep both within a few slots of the shares at every place of the schedule. A
+source's slots are ranked, and the slot of rank r takes block r of the source's stream: its documents in shuffled
+order, end to end, read again from the start as often as it has slots for, and cut into blocks of equal tokens. No
+stream is read more than ``MOST_REPEATS`` times; slots beyond that stay empty. All of it is DataFrame functions, and
+no task sees all of a source: orders and sums go by ranges.
+
+There are about ``SLOTS`` slots, or as many as blocks of ``BLOCK_TOKENS`` need if that is more, so a source comes
+within a few parts in ``SLOTS`` of the whole of its target.
 
 Weights 1, 2, 3 repeat over the sources in code point order, null last. Defined cases: a null text has size 0;
-a source without words has target 0; repeated rows are documents of their own; an empty table gives an empty
-result. Order among rows with equal doc_id and size doesn't matter, as such rows differ in nothing used here.
+a source without words has target 0; repeated rows are documents of their own, and rows that agree in id and text
+may change places, which changes no result; a null doc_id is an id like any other; long texts go through many
+blocks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, cut, partitions_for, renamed, word_count
+from tickloom.llm.common import WORD, cut, renamed, word_count
+from tickloom.operators.sets import numbered, running
 
 MOST_REPEATS = 3
 BLOCK_TOKENS = 1024
+#: Slots of a schedule, at least about.
+SLOTS = 1 << 16
 #: 1 / golden ratio.
 STEP = 0.6180339887498949
-#: Slots of one ranking group, and documents of one ordering group, about.
+#: Slots of one ranking group, about.
 GROUP_ROWS = 1 << 12
 SEED = 17
-#: Equal cells of the unit interval, by which a point finds the sources near it.
-CELLS = 4096
+#: Equal cells of the unit interval for each source and at least, by which a point finds the sources near it.
+CELLS, LEAST_CELLS = 4, 4096
 #: Sources whose targets are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 10_000
+#: Rounds of resharing the excess; each but the last finds a source that its bound holds.
+ROUNDS = 200
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     """``(source, size)`` rows to ``(source, sid, source_size, target)``; one row per source.
 
-    The sources that the bound holds are those of least size per weight, so one ordered pass over the
-    source totals finds them; the others share what is left by weight.
-    """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = totals.withColumn("sid", F.row_number().over(by_name)).withColumn("weight", (F.pmod(F.col("sid") - 1, F.lit(3)) + 1).cast("double"))
-    ranked = ranked.withColumn("bound", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("bound") / F.col("weight"), "sid")
-    every = Window.partitionBy()
-    led = ranked.withColumn("bound_before", F.coalesce(F.sum("bound").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    led = led.withColumn("weight_from", F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    led = led.withColumn("total", F.sum("source_size").over(every))
-    share = (F.col("total") - F.col("bound_before")) / F.col("weight_from")
-    led = led.withColumn("held", F.col("bound") <= share * F.col("weight"))
-    led = led.withColumn("level", F.max(F.when(~F.col("held"), share)).over(every))
-    target = F.when(F.col("held"), F.col("bound")).otherwise(F.least("bound", F.col("level") * F.col("weight")))
-    return led.select("source", "sid", "source_size", target.alias("target"))
-
-
-def _shuffled() -> Column:
-    """The place of a document in the shuffled order of its source."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{SEED}")))
-
-
-def streams(sized: DataFrame, groups: int) -> DataFrame:
-    """Rows with ``doc_id, size, sid`` plus ``begin``: a document's first token in its source's stream.
-
-    Buckets are ranges of the shuffled order, so their number doesn't change the result.
+    The excess over a bound is reshared until no source is above: each round is one sum over the sources, and the
+    share of a weight only rises.
     """
-    bucket = F.floor(F.conv(F.substring("place", 1, 7), 16, 10).cast("long") * F.lit(groups) / F.lit(float(1 << 28))).cast("int")
-    dealt = sized.withColumn("place", _shuffled()).withColumn("bucket", bucket)
-    sums = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("bucket_begin"))
-    order = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = dealt.withColumn("inner", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    begin = (F.col("bucket_begin") + F.col("inner")).alias("begin")
-    return inner.join(starts, ["sid", "bucket"]).select(*sized.columns, begin)
-
-
-def _slots_needed(block: int) -> Column:
-    """Whole rounds of the source's blocks, and the blocks that the rest of the target begins."""
-    size, goal = F.col("source_size"), F.floor("target")
-    rounds = F.floor(goal / size)
-    slots = rounds * F.ceil(size / F.lit(float(block))) + F.ceil((goal - rounds * size) / F.lit(float(block)))
-    return F.when(size > 0, slots).otherwise(F.lit(0)).cast("long")
-
-
-def schedule(targets: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """``(slot, sid, rank)``: the sources' slots in order. ``targets`` has ``sid, target, source_size``.
-
-    A source has as many slots as its target needs blocks: slots beyond that are left out, and those that
-    the points leave it short of follow at the end.
-    """
-    need = targets.select("sid", _slots_needed(block).alias("need")).filter("need > 0")
-    whole = need.agg(F.sum("need")).first()[0] or 0
-    upto = F.sum("need").over(Window.orderBy("sid"))
-    shares = need.select("sid", "need", ((upto - F.col("need")) / F.lit(whole)).alias("since"), (upto / F.lit(whole)).alias("upto"))
-    cell = F.explode(F.sequence(F.floor(F.col("since") * CELLS), F.least(F.floor(F.col("upto") * CELLS), F.lit(CELLS - 1)))).alias("cell")
-    slots = need.sparkSession.range(whole).select(F.col("id").alias("slot"), (((F.col("id") + 1) * F.lit(STEP)) % F.lit(1.0)).alias("point"))
-    slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS))
-    placed = slots.join(shares.select("sid", "need", "since", "upto", cell), "cell").filter("point >= since AND point < upto")
-    placed = placed.select("slot", "sid", "need", F.floor(F.col("slot") / F.lit(GROUP_ROWS)).alias("span"))
+    totals = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull()), "mix-totals")
+    ranked = numbered(totals, "_null", "source", name="sid").drop("_null").withColumn("sid", F.col("sid") + 1)
+    ranked = cut(ranked.withColumn("weight", (F.pmod(F.col("sid") - 1, F.lit(3)) + 1).cast("double")).withColumn("bound", F.col("source_size") * F.lit(float(most))), "mix-sources")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level = -1.0
+    for _ in range(ROUNDS):
+        held = F.col("bound") <= F.col("weight") * F.lit(level)
+        r = ranked.agg(F.coalesce(F.sum(F.when(held, F.col("bound"))), F.lit(0.0)).alias("full"), F.sum(F.when(~held, F.col("weight"))).alias("free")).first()
+        now = (total - r["full"]) / r["free"] if r["free"] else level
+        if now == level:
+            break
+        level = now
+    else:
+        raise RuntimeError("targets did not settle")
+    target = F.least(F.col("bound"), F.col("weight") * F.lit(level))
+    return ranked.select("source", "sid", "source_size", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))
+
+
+def block_size(whole: int, block: int = BLOCK_TOKENS) -> int:
+    """Tokens of a block for so many tokens in all."""
+    return max(1, min(block, whole // SLOTS))
+
+
+def schedule(targets: DataFrame, block: int) -> DataFrame:
+    """``(slot, sid, rank)``: the slots in order, the source that each point falls to, and the slot's rank among the
+    source's slots. ``targets`` has ``sid, target``."""
+    goals = targets.select("sid", F.floor("target").cast("long").alias("goal")).filter("goal > 0")
+    n, whole = goals.agg(F.count("*"), F.coalesce(F.sum("goal"), F.lit(0))).first()
+    count, cells = -(-whole // block), max(LEAST_CELLS, CELLS * n)
+    ends = running(goals, ["sid"], "before", "goal")
+    shares = ends.select("sid", (F.col("before") / F.lit(whole)).alias("since"), ((F.col("before") + F.col("goal")) / F.lit(whole)).alias("upto"))
+    cell = F.explode(F.sequence(F.floor(F.col("since") * cells), F.least(F.floor(F.col("upto") * cells), F.lit(cells - 1)))).alias("cell")
+    slots = goals.sparkSession.range(count).select(F.col("id").alias("slot"), (((F.col("id") + 1) * F.lit(STEP)) % F.lit(1.0)).alias("point"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") * cells))
+    placed = slots.join(shares.select("sid", "since", "upto", cell), "cell").filter("point >= since AND point < upto")
+    placed = placed.select("slot", "sid", F.floor(F.col("slot") / F.lit(GROUP_ROWS)).alias("span"))
     sums = placed.groupBy("sid", "span").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("sid").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "span", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("span_begin"))
     inner = placed.withColumn("inner", F.row_number().over(Window.partitionBy("sid", "span").orderBy("slot")) - 1)
-    ranked = inner.join(starts, ["sid", "span"]).withColumn("rank", F.col("span_begin") + F.col("inner"))
-    had = F.coalesce("had", F.lit(0))
-    short = need.join(sums.groupBy("sid").agg(F.sum("n").alias("had")), "sid", "left").filter(had < F.col("need"))
-    tail = short.select(F.lit(whole).cast("long").alias("slot"), "sid", F.explode(F.sequence(had, F.col("need") - 1)).alias("rank"))
-    return ranked.filter("rank < need").select("slot", "sid", "rank").unionByName(tail)
-
-
-def block_reads(targets: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """``(sid, block, whole, rest)``: how often the schedule reads a block wholly, and the tokens of a cut read."""
-    ends = targets.select("sid", "source_size", F.floor("target").alias("goal"), F.ceil(F.col("source_size") / F.lit(float(block))).alias("blocks"))
-    reads = schedule(targets, block).join(ends, "sid")
-    reads = reads.withColumn("block", F.pmod("rank", "blocks")).withColumn("round", F.floor(F.col("rank") / F.col("blocks")))
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    left = F.col("goal") - F.col("round") * F.col("source_size") - F.col("block") * block
-    reads = reads.select("sid", "block", length.alias("length"), F.least(length, left).alias("got"))
-    whole = F.count_if(F.col("got") == F.col("length")).alias("whole")
-    rest = F.coalesce(F.max(F.when(F.col("got") < F.col("length"), F.col("got"))), F.lit(0)).alias("rest")
-    return reads.groupBy("sid", "block").agg(whole, rest)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_TOKENS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``, a row per document; no document exceeds 3 times its size."""
-    kept = renamed(docs, doc_id=id_col, source=source_col, text=text_col)
-    sized = cut(kept.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    targets = cut(source_targets(sized).coalesce(1), "mix-targets")
+    return inner.join(starts, ["sid", "span"]).select("slot", "sid", (F.col("span_begin") + F.col("inner")).alias("rank"))
+
+
+def streams(sized: DataFrame) -> DataFrame:
+    """Rows with ``row, doc_id, size, sid, key`` plus ``begin``: a document's first token in its source's stream.
+    The shuffled order is that of a hash of id and text; ``row`` parts rows that agree in both."""
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{SEED}|"), F.col("key")))
+    summed = cut(running(sized.withColumn("place", place), ["sid", "place", "row"], "before", "size"), "mix-order")
+    first = summed.groupBy("sid").agg(F.min("before").alias("first"))
+    return summed.join(F.broadcast(first) if first.count() <= MOST_BROADCAST else first, "sid").select(*sized.columns, (F.col("before") - F.col("first")).alias("begin"))
+
+
+def reads(placed: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``(row, round, slot, got)``: for each reading of a document the slot that begins it and the words it takes.
+
+    A document of a stream stands at ``begin`` in its first round and a whole stream later in each further one; the
+    blocks that it crosses there are joined with the slots of their ranks.
+    """
+    each = placed.filter("size > 0").select("row", "sid", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: F.col("begin") + k * F.col("source_size"))).alias("round", "since"))
+    upto = F.col("since") + F.col("size")
+    crossed = F.explode(F.sequence(F.floor(F.col("since") / F.lit(block)), F.floor((upto - 1) / F.lit(block)))).alias("rank")
+    parts = each.select("row", "round", "sid", "since", upto.alias("upto"), crossed).join(schedule(targets, block), ["sid", "rank"])
+    start = F.col("rank") * F.lit(block)
+    words = F.least("upto", start + F.lit(block)) - F.greatest("since", start)
+    return parts.groupBy("row", "round").agg(F.min("slot").alias("slot"), F.sum(words).cast("long").alias("got"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+    kept = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return kept.select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+
+
+def _mix(sized: DataFrame, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """Documents with their source's figures, and their readings; ``sized`` is stored."""
+    targets = cut(source_targets(sized), "mix-targets")
+    if block is None:
+        block = block_size(targets.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0])
     known = F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
-    own = sized.join(known, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "sid", "source_size", "target")
-    placed = cut(streams(own, 2 * partitions_for(sized.count(), GROUP_ROWS)), "mix-streams")
-    end = F.col("begin") + F.col("size")
-    crossed = F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block")
-    worded = placed.filter("size > 0")
-    parts = worded.select("sid", "begin", "size", crossed).join(block_reads(targets, block), ["sid", "block"])
-    start = F.col("block") * block
-    since, upto = F.greatest("begin", start), F.least(end, start + block)
-    words = F.col("whole") * (upto - since) + F.greatest(F.lit(0), F.least(upto, start + F.col("rest")) - since)
-    # Documents with words begin at places of their own, so (sid, begin) names one even where ids repeat.
-    sums = parts.groupBy("sid", "begin").agg(F.sum(words).cast("long").alias("taken"))
-    out = worded.join(sums, ["sid", "begin"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them: a copy for each whole reading and, where
-    a reading is cut, one of the words before the cut. All columns stay; ``n_chars`` is counted anew."""
-    taken = mix(docs, block=block).groupBy("doc_id").agg(F.sum("size").alias("_sum"), F.sum("taken").alias("_taken"))
+    own = sized.join(known, sized["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "size", "key", "sid", "source_size", "target")
+    placed = streams(own)
+    return placed, reads(placed, targets, block)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, first_slot``, a row per document; no document exceeds 3 times its
+    size, and ``first_slot`` is null for one that the schedule doesn't reach."""
+    sized = cut(_sized(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), "mix-sizes")
+    placed, found = _mix(sized, block)
+    sums = found.groupBy("row").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which names a row and stays the same from scan to scan: file and place in it for a
+    plain scan of Parquet files; other tables are stored first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
+        except AnalysisException:  # files of a form without row numbers
+            pass
+    return cut(docs.withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "mix-docs")
+
+
+def mixed(docs: DataFrame, block: int | None = None) -> DataFrame:
+    """The documents that the mix takes, in order of the schedule and as often as it takes them: a copy for each
+    whole reading and, where a reading is cut, one of the words before the cut. All columns stay; ``n_chars`` is
+    counted anew. Rows that repeat an id, or have none, are documents of their own."""
+    own = _with_rows(docs)
+    sized = cut(_sized(own, "doc_id", "text", "source", F.col("_row")), "mix-sizes")
+    found = _mix(sized, block)[1].withColumnRenamed("row", "_row")
     size = word_count(F.col("text"))
-    on = docs["doc_id"].eqNullSafe(taken["doc_id"])
-    found = docs.join(taken.filter("_taken > 0"), on).select(*[docs[f"`{c}`"] for c in docs.columns], "_sum", "_taken", size.alias("_size"))
-    # Rows that repeat an id share by size what the mix takes of it.
-    found = found.withColumn("_own", F.floor(F.col("_taken") * F.col("_size") / F.col("_sum"))).filter("_own > 0")
-    found = found.withColumn("_whole", F.floor(F.col("_own") / F.col("_size"))).withColumn("_rest", F.col("_own") % F.col("_size"))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0)).cast("int"))).alias("_copy")
-    each = found.select("*", copies)
     units = F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
-    short = F.array_join(F.slice(units, F.lit(1), F.col("_rest").cast("int")), "")
-    text = F.when(F.col("_copy") > F.col("_whole"), short).otherwise(F.col("text"))
-    out = each.withColumn("text", text)
+    each = own.join(found.select("_row", F.col("slot").alias("_slot"), F.col("got").alias("_got")), "_row")
+    short = F.array_join(F.slice(units, F.lit(1), F.col("_got").cast("int")), "")
+    out = each.withColumn("text", F.when(F.col("_got") < size, short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    ordered = out.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row")
+    return ordered.select(*[f"`{c}`" for c in docs.columns])

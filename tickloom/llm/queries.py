@@ -66,10 +66,10 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-#: The targets by filling in order of size per weight, and the words that a stream cut at its target gives
-#: each document: whole rounds, and of the round that is cut what lies before the cut.
+#: The targets by filling in order of size per weight; the slots that the golden-ratio points give each source; and
+#: of each document the words that its source's slots read in up to three rounds, and the slot that reads it first.
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS key FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM t),
 w AS (SELECT *, CAST((sid - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS bound FROM r),
@@ -77,9 +77,18 @@ f AS (SELECT *, coalesce(sum(bound) OVER (ORDER BY bound / weight, sid ROWS BETW
     sum(weight) OVER (ORDER BY bound / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from, sum(source_size) OVER () AS total FROM w),
 h AS (SELECT *, (total - bound_before) / weight_from AS share, bound <= (total - bound_before) / weight_from * weight AS held FROM f),
 g AS (SELECT *, CASE WHEN held THEN bound ELSE least(bound, max(share) FILTER (NOT held) OVER () * weight) END AS target FROM h),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(sum(d.size) OVER (PARTITION BY g.sid ORDER BY md5(concat(d.doc_id, '|17')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
-    CAST(floor(g.target) AS BIGINT) AS goal FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(begin + size, goal % source_size) - begin) END AS BIGINT) AS taken FROM p
+o AS (SELECT sid, CAST(floor(target) AS BIGINT) AS goal FROM g WHERE target >= 1),
+b AS (SELECT CAST(sum(goal) AS BIGINT) AS whole, greatest(1, least(1024, CAST(sum(goal) AS BIGINT) // 65536)) AS block FROM o),
+i AS (SELECT sid, CAST(sum(goal) OVER (ORDER BY sid) - goal AS DOUBLE) / whole AS since, CAST(sum(goal) OVER (ORDER BY sid) AS DOUBLE) / whole AS upto FROM o, b),
+s AS (SELECT u.slot, ((u.slot + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS point FROM b, unnest(generate_series(0, (whole + block - 1) // block - 1)) AS u(slot)),
+k AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM s JOIN i ON point >= since AND point < upto),
+n AS (SELECT sid, count(*) * max(block) AS read FROM k, b GROUP BY sid),
+p AS (SELECT d.doc_id, d.size, g.sid, g.source_size, g.target, CAST(coalesce(sum(d.size) OVER (PARTITION BY g.sid ORDER BY md5(concat(d.doc_id, '|17|', d.key)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT p.doc_id, p.size, p.source_size, p.target, k.slot AS first_slot, CAST(coalesce(greatest(0, least(p.begin + p.size, n.read) - p.begin)
+    + greatest(0, least(p.begin + p.source_size + p.size, n.read) - p.begin - p.source_size)
+    + greatest(0, least(p.begin + 2 * p.source_size + p.size, n.read) - p.begin - 2 * p.source_size), 0) AS BIGINT) AS taken
+FROM p CROSS JOIN b LEFT JOIN n ON n.sid = p.sid LEFT JOIN k ON k.sid = p.sid AND k.rank = p.begin // b.block AND p.size > 0
 """
 
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
