@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, prepare, partitions_for, renamed
+from tickloom.llm.common import batches_of, cut, partitions_for, prepare, renamed
 
 LEAST_WORDS = 50
 GRAM_WORDS = 8
@@ -182,15 +182,18 @@ def _least_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _closed_batches(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows whose key is among ``pairs`` (key, its two least documents), with the least other document."""
-    for b in batches:
-        if not b.num_rows or not len(pairs):
-            continue
-        key, doc = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        at = np.minimum(np.searchsorted(pairs[:, 0], key), len(pairs) - 1)
-        other = np.where(doc == pairs[at, 1], pairs[at, 2], pairs[at, 1])
-        out = pa.record_batch([*b.columns[:-1], pa.array(other)], names=b.schema.names)
-        yield out.filter(pa.array(pairs[at, 0] == key))
+    """All rows, those without an ``other`` only if their key is among ``pairs`` (key, its two least documents),
+    and then with the least other document."""
+    for b in batches_of(batches):
+        key, doc, other = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(b.num_columns - 1)
+        edge = other.is_null().to_numpy(zero_copy_only=False)
+        if edge.any():
+            near = pairs if len(pairs) else np.full((1, 3), -1, np.int64)
+            at = np.minimum(np.searchsorted(near[:, 0], key), len(near) - 1)
+            known = (near[at, 0] == key) & (len(pairs) > 0)
+            filled = np.where(edge, np.where(doc == near[at, 1], near[at, 2], near[at, 1]), other.fill_null(0).to_numpy())
+            b = pa.record_batch([*b.columns[:-1], pa.array(filled)], names=b.schema.names).filter(pa.array(~edge | known))
+        yield b
 
 
 def shared(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -204,8 +207,7 @@ def shared(rows: DataFrame, n: int, name: str) -> DataFrame:
     for r in edges.select("key", "doc").mapInArrow(_least_batches, "key long, doc long").collect():  # a few per partition
         least[r["key"]] = set(sorted(least.get(r["key"], set()) | {r["doc"]})[:2])
     pairs = np.array([(k, *sorted(d)) for k, d in sorted(least.items()) if len(d) == 2], np.int64).reshape(-1, 3)
-    closed = edges.mapInArrow(lambda it: _closed_batches(it, pairs), found.schema)
-    return found.filter("other IS NOT NULL").unionAll(closed)
+    return found.mapInArrow(lambda it: _closed_batches(it, pairs), found.schema)
 
 
 def shared_windows(docs: DataFrame) -> DataFrame:
