@@ -40,14 +40,16 @@ def test_stages(stages):
     for r in mixed.collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split())
     assert set(taken) <= set(words) and all(n <= 3 * words[i] for i, n in taken.items())
-    assert abs(sum(taken.values()) - sum(words.values())) <= 4
+    assert abs(sum(taken.values()) - sum(words.values())) <= 8
     enc = packing.encoder()
     assert packed.agg({"length": "sum"}).first()[0] == sum(len(x) // 4 + 1 for x in enc.encode([r.text for r in mixed.collect()]))
 
 
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
-    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got.columns == ["doc_id", "copy", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    rows = got.collect()
+    assert len({(r["copy"], r.piece) for r in rows}) == len(rows) and all(len(r.ids) == 4 * r.length for r in rows)
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     kept = {r.doc_id for r in simhash.deduplicated(table(spark, sf, "documents")).select("doc_id").collect()}
     assert ids <= kept and len(ids) > 0.4 * len(kept)

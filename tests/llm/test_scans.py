@@ -60,6 +60,55 @@ def test_field_adds_what_patterns_miss(tagger):
     assert secrets.scan(clean, tagger) == ([], [])
 
 
+def held_out(rng):
+    """Lines with secrets of forms that training has none of, and lines of harmless words."""
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [
+        lambda: "xoxb-" + "".join(rng.choices("0123456789", k=12)) + "-" + "".join(rng.choices(alphabet, k=24)),
+        lambda: "glpat-" + "".join(rng.choices(alphabet, k=20)),
+        lambda: "AIza" + "".join(rng.choices(alphabet, k=35)),
+        lambda: "eyJ" + "".join(rng.choices(alphabet, k=60)),
+    ]
+    plain = ["The", "house", "of", "the", "king", "called", "me@example.org,", "on", "2023-11-02", "at", "10:45", "with", "1.200", "men", "(again)", "https://example.net/path/to/page", "4929123412341234", "unbelievableness", "was", "it"]
+    words = rng.choices(plain, k=rng.randrange(4, 12))
+    if rng.random() < 0.5:
+        return " ".join(words), None
+    secret = rng.choice(forms)()
+    return " ".join([*words, rng.choice(["auth_key =", "bearer", "client_credential:", "private_token =>"]), f'"{secret}"', *rng.choices(plain, k=4)]), secret
+
+
+def test_held_out_forms(tagger):
+    """Precision and recall of what the field adds, on forms that no training line has."""
+    rng = random.Random(12)
+    right = wrong = missed = 0
+    for _ in range(400):
+        text, secret = held_out(rng)
+        base, spans = secrets.scan(text, tagger)
+        found = [text[s:e] for s, k, e in spans if k == 3]
+        if any(secret and secret[s - text.index(secret) :] for s, _, _ in base if secret in text):
+            continue  # the patterns found it
+        right += secret in found
+        missed += secret is not None and secret not in found
+        wrong += sum(f != secret for f in found)
+    assert right > 100 and right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9, (right, wrong, missed)
+
+
+def test_what_base_spans_leave(tagger):
+    text = "then password = hunter2!X9kkQ4zLmT8vWq2 here"
+    base, spans = secrets.scan(text, tagger)
+    assert [text[s:e] for s, _, e in base] == ["password = hunter2"]
+    assert all(e <= base[0][0] or s >= base[0][2] for s, k, e in spans if k == 3)
+    assert list(secrets._without(0, 10, [(2, 0, 4), (6, 0, 12)])) == [(0, 2), (4, 6)]
+
+
+def test_training_windows_lie_over_the_whole_text():
+    text = " ".join(f"w{i}" for i in range(6000)) + ' token = "abcdefgh12345678"'
+    got = secrets.training_windows(text)
+    assert len(got) == 1 + secrets.WINDOWS and any(y for _, tags, _ in got for y in tags)
+    assert [w[0] for w, _, _ in got][0] != "w0"
+    assert len(secrets.training_windows("token = abcdefgh " * 9000)) <= secrets.MOST_WINDOWS and secrets.training_windows("") == []
+
+
 def test_pruned_viterbi_is_exact(tagger):
     rng = random.Random(2)
     for _ in range(60):
@@ -140,9 +189,12 @@ def test_forward_sums_all_segmentations():
     got = scorer.words(words)
     for w, row in zip(words, got):
         assert np.allclose(np.exp(row), [brute("▁" + w, 0), brute("▁" + w, 1)])
-        assert np.allclose(row, scorer._long("▁" + w))
-    long = "ab" * 400
-    assert np.isfinite(scorer.words([long])).all()
+        assert np.allclose(row, language.long_forward("▁" + w, scorer.rows, scorer.logs)[-1])
+    long = ["ab" * 400, "字" * 39, "字" * 38, "字" * 3000]  # the unknown characters of one word have one way
+    got = scorer.words(long)
+    assert np.isfinite(got).all()
+    for w, row in zip(long[1:], got[1:]):
+        assert np.allclose(row, np.log([0.1, 0.9]) + len(w) * np.log(language.UNKNOWN))
 
 
 def test_language_query(spark, sf):
@@ -218,6 +270,47 @@ def test_em_finds_a_bad_rule(spark):
     assert abs(accuracy["a"] - 0.95) < 0.05 and abs(accuracy["c"] - 0.62) < 0.06 and abs(share - 0.8) < 0.05
 
 
+def test_long_words_teach_like_short_ones(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a", "abab"]
+    words = Counter({"▁" + "ab" * n + "a" * k: n + k for n in range(1, 6) for k in range(4)})
+    want = language.train_language(words, pieces)
+    monkeypatch.setattr(language, "CACHED_LENGTH", 4)
+    got = language.train_language(words, pieces)
+    assert all(np.isclose(got[p], want[p]) for p in pieces)
+    assert len(language.vocabulary()) > 31_000 and max(map(len, language.vocabulary())) > 12
+
+
+def test_language_query_against_plain_sums(spark, sf):
+    docs = table(spark, sf, "documents")
+    langs, model = language.train(docs.select("doc_id", "text", "lang"))
+    longest, known = max(map(len, model)), {}
+
+    def plain(word):
+        if word not in known:
+            ways = [np.ones(len(langs))]
+            for e in range(1, len(word) + 1):
+                here = np.zeros(len(langs))
+                for s in range(max(0, e - longest), e):
+                    p = model.get(word[s:e])
+                    if p is None and s == e - 1:
+                        p = language.UNKNOWN
+                    if p is not None:
+                        here = here + ways[s] * p * 20.0 ** (e - s)
+                ways.append(here)
+            known[word] = np.log(ways[-1]) - len(word) * np.log(20.0)
+        return known[word]
+
+    got = {r.doc_id: r for r in queries.op7_language(spark, sf).collect()}
+    for r in docs.collect():
+        words = [w.strip(language.SIGNS) for w in (r.text or "").lower().split()]
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(plain("▁" + w) for w in words if w)
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[r.doc_id].lang_pred == langs[int(total.argmax())] and got[r.doc_id].score == pytest.approx(share.max(), abs=1e-6)
+
+
 def test_expected_uses_against_enumeration():
     pieces = {"▁": 0.2, "a": 0.3, "b": 0.1, "ab": 0.25, "▁a": 0.15}
 

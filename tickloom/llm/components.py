@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is two aggregations and joins on the edge table alone; a hub's minimum is combined map-side,
-so no neighbourhood is ever gathered into one task or on the driver.
+Each round is two aggregations and joins on the edge table alone. A hub's minimum is combined map-side; where its
+edges are joined with that minimum, a single row, adaptive execution splits them over tasks as a skewed partition,
+and no neighbourhood is gathered into one row or on the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     stamp = _stamp(now)
     for _ in range(max_rounds):
         starred = _large_star(now).filter("u <> v").distinct()
-        now = cut(_small_star(starred).filter("u <> v").distinct(), "stars")
+        before, now = now, cut(_small_star(starred).filter("u <> v").distinct(), "stars")
+        drop(before)
         if (after := _stamp(now)) == stamp:
             break
         stamp = after

@@ -7,7 +7,9 @@ sample of labelled documents.
 
 The sample: of each language about ``SAMPLE_DOCS`` documents, drawn by a hash of the id; it is the only bound
 and all else covers all data. Words are of the lower-cased text, split at white space, without ASCII signs and
-digits at their ends, and marked at their start as the vocabulary does. Characters that the vocabulary lacks count as one unknown piece each.
+digits at their ends, and marked at their start as the vocabulary does. All pieces that are text are in use;
+those that no language's sample holds are left out of the model, as they tell no language from another.
+Characters that the vocabulary lacks count as one unknown piece each. Words of any length teach and are scored.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is any text if no language
 was learned; ties go to the language that sorts first; repeated rows are judged alike.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -28,39 +31,41 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held, prepare, renamed
+from tickloom.llm.common import batches_of, held, prepare, renamed
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 300
 SAMPLE_SEED = 7
 EM_ROUNDS = 3
-#: Pieces longer than this are left out of the vocabulary's use.
-PIECE_LENGTH = 12
 SMOOTHING = 0.1
 UNKNOWN = math.exp(-18)
 MARK = "▁"
 #: Words whose scores a worker keeps; others are scored anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+#: Words of up to so many characters, mark included, go through the forward algorithm many at once; longer ones
+#: one by one in logarithms, to the same end.
 CACHED_LENGTH = 40
-#: New words that go through the forward algorithm at once.
-NEW_WORDS = 16_384
+NEW_WORDS = 4096
 #: Signs that are taken off the ends of words.
 SIGNS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 UNDEFINED = "und"
 #: Posterior probability below which a text counts as of no one language.
 LEAST_SCORE = 0.5
 
+#: Factor for each character of a path, so that words of up to ``CACHED_LENGTH`` characters neither vanish nor
+#: overflow in double precision, whatever their pieces; it is the same for all ways to cut a word.
+LIFT = 9.0
+
 _vocabularies: dict[str, frozenset[str]] = {}
 
 
 def vocabulary(name: str = VOCABULARY) -> frozenset[str]:
-    """The vocabulary's plain pieces of at most ``PIECE_LENGTH`` characters, in lower case."""
+    """All pieces of the vocabulary that are text: those of any length and case."""
     if name not in _vocabularies:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-        _vocabularies[name] = frozenset(p for p in plain if len(p) <= PIECE_LENGTH and p == p.lower())
+        _vocabularies[name] = frozenset(sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
     return _vocabularies[name]
 
 
@@ -73,78 +78,121 @@ def prefix_rows(pieces: Iterable[str]) -> dict[str, int]:
     return rows
 
 
+def arcs(word: str, rows: dict[str, int], unknown: int) -> Iterator[tuple[int, int, int]]:
+    """``(start, end, row)`` of the pieces of a word, by start; a character that is no piece is one of its own."""
+    size = len(word)
+    for s in range(size):
+        known = False
+        for e in range(s + 1, size + 1):
+            r = rows.get(word[s:e])
+            if r is None:
+                break
+            if r >= 0:
+                known = known or e == s + 1
+                yield s, e, r
+        if not known:
+            yield s, s + 1, unknown
+
+
 class Lattice:
     """All ways to cut many words into pieces. A node is a place in a word, an arc a piece between two places;
     a character that is no piece is an arc of its own. Arcs that end at one place of their words are one
     step, for all words at once."""
 
     def __init__(self, words: list[str], rows: dict[str, int], unknown: int) -> None:
-        level: list[int] = []
-        start: list[int] = []
-        row: list[int] = []
+        level, start, row = array("q"), array("q"), array("q")
         sizes = [len(w) for w in words]
         base = 0
         for w, size in zip(words, sizes):
-            for s in range(size):
-                known = False
-                for e in range(s + 1, min(size, s + PIECE_LENGTH) + 1):
-                    r = rows.get(w[s:e])
-                    if r is None:
-                        break
-                    if r >= 0:
-                        level.append(e)
-                        start.append(base + s)
-                        row.append(r)
-                        known = known or e == s + 1
-                if not known:
-                    level.append(s + 1)
-                    start.append(base + s)
-                    row.append(unknown)
+            for s, e, r in arcs(w, rows, unknown):
+                level.append(e)
+                start.append(base + s)
+                row.append(r)
             base += size + 1
         self.nodes = base
-        self.last = np.cumsum(np.array(sizes, np.int64) + 1) - 1
+        self.sizes = np.array(sizes, np.int64)
+        self.last = np.cumsum(self.sizes + 1) - 1
         self.first = self.last - sizes
-        levels, starts = np.array(level, np.int64), np.array(start, np.int64)
-        self.word_of = np.repeat(np.arange(len(words)), np.array(sizes, np.int64) + 1)
+        levels, starts = np.frombuffer(level, np.int64), np.frombuffer(start, np.int64)
+        self.word_of = np.repeat(np.arange(len(words)), self.sizes + 1)
         ends = self.first[self.word_of[starts]] + levels
         order = np.lexsort((ends, levels))
-        self.starts, self.ends, self.rows = starts[order], ends[order], np.array(row, np.int64)[order]
+        self.starts, self.ends, self.rows = starts[order], ends[order], np.frombuffer(row, np.int64)[order]
         cuts = np.searchsorted(levels[order], np.arange(1, (int(levels.max()) if len(levels) else 0) + 2))
         self.steps = [(x, y) for x, y in zip(cuts.tolist(), cuts[1:].tolist()) if y > x]
 
-    def forward(self, probs: np.ndarray) -> np.ndarray:
-        """The sums over all ways to reach each node; ``probs`` has a row for each piece."""
-        alpha = np.zeros((self.nodes, probs.shape[1]))
+    def forward(self, lifted: np.ndarray) -> np.ndarray:
+        """The sums over all ways to reach each node; ``lifted`` has a row for each piece, times the factor of
+        its characters."""
+        alpha = np.zeros((self.nodes, lifted.shape[1]))
         alpha[self.first] = 1.0
         for x, y in self.steps:
-            value = alpha[self.starts[x:y]] * probs[self.rows[x:y]]
+            value = alpha[self.starts[x:y]] * lifted[self.rows[x:y]]
             new = np.nonzero(np.diff(self.ends[x:y], prepend=-1))[0]
             alpha[self.ends[x:y][new]] = np.add.reduceat(value, new, axis=0)
         return alpha
 
-    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def expected(self, lifted: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all ways to cut the words, ``weight`` times each."""
-        alpha = self.forward(prob[:, None])[:, 0]
+        alpha = self.forward(lifted[:, None])[:, 0]
         beta = np.zeros(self.nodes)
         beta[self.last] = 1.0
         for x, y in reversed(self.steps):
-            np.add.at(beta, self.starts[x:y], prob[self.rows[x:y]] * beta[self.ends[x:y]])
-        scale = weight / np.maximum(alpha[self.last], 1e-300)
-        uses = alpha[self.starts] * prob[self.rows] * beta[self.ends] * scale[self.word_of[self.starts]]
-        return np.bincount(self.rows, uses, len(prob))
+            np.add.at(beta, self.starts[x:y], lifted[self.rows[x:y]] * beta[self.ends[x:y]])
+        scale = weight / alpha[self.last]
+        uses = alpha[self.starts] * lifted[self.rows] * beta[self.ends] * scale[self.word_of[self.starts]]
+        return np.bincount(self.rows, uses, len(lifted))
+
+
+def long_forward(word: str, rows: dict[str, int], logs: np.ndarray) -> np.ndarray:
+    """Log sums over all ways to reach each place of one word of any length; the last row of ``logs`` is that of
+    unknown characters."""
+    out = np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    out[0] = 0.0
+    for s, e, r in arcs(word, rows, len(logs) - 1):
+        np.logaddexp(out[e], out[s] + logs[r], out=out[e])
+    return out
+
+
+def long_expected(word: str, rows: dict[str, int], logs: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in one word of any length; ``logs`` has one column."""
+    alpha = long_forward(word, rows, logs)[:, 0]
+    beta = np.full(len(word) + 1, -np.inf)
+    beta[-1] = 0.0
+    found = list(arcs(word, rows, len(logs) - 1))
+    uses = np.zeros(len(logs))
+    for s, e, r in reversed(found):
+        way = logs[r, 0] + beta[e]
+        beta[s] = np.logaddexp(beta[s], way)
+        uses[r] += math.exp(alpha[s] + way - alpha[-1])
+    return uses
+
+
+def lifts(names: Iterable[str]) -> np.ndarray:
+    """The factor of each piece, and of an unknown character."""
+    return np.exp(LIFT * np.array([*map(len, names), 1.0]))
 
 
 def train_language(words: Counter, pieces: Iterable[str], rounds: int = EM_ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language, smoothed over the vocabulary; very long words teach nothing."""
+    """Piece probabilities of one language, smoothed over the vocabulary, from words of any length."""
     names = sorted(pieces)
-    known = {w: n for w, n in sorted(words.items()) if len(w) <= CACHED_LENGTH}
-    lattice = Lattice(list(known), prefix_rows(names), len(names))
-    weight = np.array(list(known.values()), np.float64)
+    rows, lift = prefix_rows(names), lifts(names)
+    short = {w: n for w, n in sorted(words.items()) if len(w) <= CACHED_LENGTH}
+    long = {w: n for w, n in sorted(words.items()) if len(w) > CACHED_LENGTH}
+    known = list(short.items())
+    parts = [known[k : k + NEW_WORDS] for k in range(0, len(known), NEW_WORDS)]
+    lattices = [(Lattice([w for w, _ in part], rows, len(names)), np.array([n for _, n in part], np.float64)) for part in parts]
     prob = np.full(len(names) + 1, 1 / max(1, len(names)))
     prob[-1] = UNKNOWN
     for _ in range(rounds):
-        counts = lattice.expected(prob, weight)[:-1] + SMOOTHING
-        prob[:-1] = counts / counts.sum()
+        counts = np.zeros(len(prob))
+        for lattice, weight in lattices:
+            counts += lattice.expected(prob * lift, weight)
+        logs = np.log(prob)[:, None]
+        for w, n in long.items():
+            counts += n * long_expected(w, rows, logs)
+        new = counts[:-1] + SMOOTHING
+        prob[:-1] = new / new.sum()
     return dict(zip(names, prob.tolist()))
 
 
@@ -169,38 +217,20 @@ class Scorer:
         self.langs = langs
         self.rows = prefix_rows(model)
         probs = np.array([*model.values(), np.full(len(langs), UNKNOWN)]) if model else np.full((1, len(langs)), UNKNOWN)
-        self.probs, self.unknown = probs, len(model)
+        self.logs, self.lifted, self.unknown = np.log(probs), probs * lifts(model)[:, None], len(model)
         self.index: dict[str, int] = {"": 0}
         self.scores, self.used = np.zeros((1024, len(langs))), 1
 
-    def _long(self, word: str) -> np.ndarray:
-        """One word whose probability may be too small for a float: rescaled at every place."""
-        n, get = len(self.langs), self.rows.get
-        ring, logs = [np.ones(n)], np.zeros(n)
-        for end in range(1, len(word) + 1):
-            here, known = np.zeros(n), False
-            for back in range(1, min(PIECE_LENGTH, end) + 1):
-                r = get(word[end - back : end], -1)
-                if r >= 0:
-                    here += ring[-back] * self.probs[r]
-                    known = known or back == 1
-            if not known:
-                here += ring[-1] * UNKNOWN
-            scale = np.maximum(here, 1e-300)
-            logs += np.log(scale)
-            ring = [x / scale for x in ring[-PIECE_LENGTH + 1 :]] + [here / scale]
-        return logs
-
     def words(self, words: list[str]) -> np.ndarray:
         """A row of log probabilities for each word, each over all its segmentations."""
-        short = [k for k, w in enumerate(words) if len(w) <= CACHED_LENGTH]
+        short = [k for k, w in enumerate(words) if len(w) < CACHED_LENGTH]
         out = np.zeros((len(words), len(self.langs)))
         if short:
             lattice = Lattice([MARK + words[k] for k in short], self.rows, self.unknown)
-            out[short] = np.log(np.maximum(lattice.forward(self.probs)[lattice.last], 1e-300))
+            out[short] = np.log(lattice.forward(self.lifted)[lattice.last]) - LIFT * lattice.sizes[:, None]
         for k, w in enumerate(words):
-            if len(w) > CACHED_LENGTH:
-                out[k] = self._long(MARK + w)
+            if len(w) >= CACHED_LENGTH:
+                out[k] = long_forward(MARK + w, self.rows, self.logs)[-1]
         return out
 
     def _learn(self, new: list[str]) -> None:
@@ -235,7 +265,9 @@ class Scorer:
             total = self.scores[flat[s:e]].sum(0)
             best = int(total.argmax())
             out.append((self.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
-        if len(index) > CACHED_WORDS:  # the common words came first: their rows are the first
+        for w in [w for w in new if len(w) > CACHED_LENGTH]:
+            del index[w]
+        if len(index) > CACHED_WORDS or self.used > 2 * CACHED_WORDS:  # the common words came first: their rows are the first
             self.index = dict(islice(index.items(), CACHED_WORDS // 2))
             self.used = 1 + max(self.index.values())
         return out
@@ -248,7 +280,7 @@ def learns(doc_id: Column) -> Column:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
-    for b in batches:
+    for b in batches_of(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             counts.setdefault(lang, Counter()).update(map(core, units(text)))
     for lang, words in counts.items():
@@ -297,7 +329,7 @@ def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray], id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(name, lambda: Scorer(*sent.value))
-        for b in batches:
+        for b in batches_of(batches):
             got = scorer.texts(b.column(1).to_pylist())
             arrays = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2:]]
             yield pa.record_batch(arrays, names=["doc_id", "lang_pred", "score", *keep])
@@ -321,7 +353,7 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(name, lambda: Scorer(*sent.value))
-        for b in batches:
+        for b in batches_of(batches):
             yield b.filter(pa.array([lang != UNDEFINED and score >= least for lang, score in scorer.texts(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -7,13 +7,14 @@ then exchanges one piece for one or two, or moves pieces, between underfull bins
 of squared fills, until bins run empty.
 
 Defined cases: a null or empty text is the separator alone (one piece of length 1); repeated rows are
-packed once each; an empty table gives an empty result. Sequence numbers are unique, not consecutive.
+packed once each; a null doc_id stays null; long texts are cut; an empty table gives an empty result. Sequence numbers are unique, not consecutive.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, held, partitions_for, prepare, renamed
+from tickloom.llm.common import batches_of, cut, held, partitions_for, prepare, renamed
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 0
@@ -32,7 +33,7 @@ SEQUENCE_TOKENS = 2048
 #: Pieces that one packing task holds at most, about; the loss is under one bin a task.
 TASK_PIECES = 50_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 40
 #: Units that one call of the tokenizer takes.
 UNITS = 4096
@@ -40,15 +41,26 @@ UNITS = 4096
 PUNCTUATION = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 #: White space at which str.split() splits and which the tokenizer's own pattern may treat otherwise.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-#: Local search stops when this many rounds over the underfull bins brought nothing.
-SEARCH_ROUNDS = 12
+#: Width of one step of the local search: items of one length that are looked at, and lengths that are tried for
+#: an exchange of one for one and of two for one. A step that finds nothing so narrow isn't made; the search goes
+#: on until no step is left. At sf0.1 (10,000 documents) no sequence more than the least possible number is needed.
+SEARCH_ITEMS, SEARCH_ONES, SEARCH_TWOS = 16, 4, 8
+
+
+
+def _letters(word: str) -> bool:
+    """Whether the tokenizer sees letters alone in a word."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
 
 class WordEncoder:
     """Token ids of texts, by word. The tokenizer splits at white space before all else, so the ids of a
     text are those of its words in order. A text with white space of other kinds is encoded whole.
 
     A word of letters between ASCII punctuation is three units to the tokenizer, which end in tokens that
-    say so; so new words are encoded many at a time, by their letters, and cut at those tokens.
+    say so; so new words are encoded many at a time, by their letters, and cut at those tokens. That holds for
+    letters that are letters still after the tokenizer's own normalising (composition, then lower case); a mark
+    that this leaves at an end would join the punctuation, so any other word is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,11 +94,11 @@ class WordEncoder:
         known = self.known
         alone, split, odd, parts = [], [], [], set()
         for w in new:
-            if w.isalpha():
+            if _letters(w):
                 alone.append(w)
                 continue
             core = w.strip(PUNCTUATION)
-            if core.isalpha():
+            if _letters(core):
                 at = w.index(core)
                 x = (w[:at], core, w[at + len(core) :])
                 split.append((w, x))
@@ -134,29 +146,33 @@ def encoder(name: str = TOKENIZER) -> WordEncoder:
     return held(f"encoder {name}", lambda: WordEncoder(public_tokenizers.path(name)))
 
 
-def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+#: Columns of a piece, by whether the copy's number and the ids are kept.
+PIECE = {"doc_id": ("long", pa.int64()), "copy": ("long", pa.int64()), "piece": ("int", pa.int32()), "start": ("long", pa.int64()), "length": ("long", pa.int64()), "ids_crc32": ("long", pa.int64()), "ids": ("binary", pa.binary())}
+
+
+def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     enc = encoder(tokenizer)
     end = np.array([SEPARATOR], "<u4").tobytes()
-    for b in batches:
-        texts = b.column(1).to_pylist()
+    for b in batches_of(batches):
         rows: list[tuple] = []
-        for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts)):
+        for doc, copy, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), enc.encode(b.column(1).to_pylist())):
             ids += end
             for k, s in enumerate(range(0, len(ids), 4 * limit)):
                 part = ids[s : s + 4 * limit]
-                rows.append((doc, k, s // 4, len(part) // 4, zlib.crc32(part), part))
-        cols = list(zip(*rows)) if rows else [()] * 6
-        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        yield pa.record_batch(arrays[: 6 if keep_ids else 5], names=names[: 6 if keep_ids else 5])
+                rows.append((doc, copy, k, s // 4, len(part) // 4, zlib.crc32(part), part))
+        cols = dict(zip(PIECE, zip(*rows)))
+        yield pa.record_batch([pa.array(cols[n], PIECE[n][1]) for n in names], names=names)
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = SEQUENCE_TOKENS, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, on request, the ids themselves."""
+def pieces(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = SEQUENCE_TOKENS, keep_ids: bool = False, copies: bool = False
+) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, on request, the ids themselves and
+    ``copy``, a number of the row that the piece is of, which parts rows of one doc_id."""
     prepare(docs.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    kept = renamed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return kept.mapInArrow(lambda it: _piece_batches(it, tokenizer, limit, keep_ids), schema)
+    names = [n for n in PIECE if (n != "ids" or keep_ids) and (n != "copy" or copies)]
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("copy"))
+    return kept.mapInArrow(lambda it: _piece_batches(it, tokenizer, limit, names), ", ".join(f"{n} {PIECE[n][0]}" for n in names))
 
 
 def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
@@ -208,8 +224,8 @@ class _Pool:
         return least + found.bit_length() - 1 if found else 0
 
 
-def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Local search over the underfull bins. A step takes a bin, fullest first, and fills its gap from less
+def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
+    """Local search over the underfull bins, until no step is left. A step takes a bin, fullest first, and fills its gap from less
     full bins: it moves an item in, or gives one item for a longer one, or one for two that are longer in
     sum. Each raises the sum of squared fills, as the bin that gains is the fuller one; emptied bins go."""
     fill = [sum(lengths[i] for i in b) for b in bins]
@@ -239,7 +255,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int =
         for n, (k, i) in enumerate(pool.at[length]):
             if k != fuller and i not in but and 0 < fill[k] < fill[fuller] + gain and (best is None or fill[k] < fill[best[0]]):
                 best = (k, i)
-            if best and n >= 16:
+            if best and n >= SEARCH_ITEMS:
                 break
         return best
 
@@ -254,7 +270,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int =
         for x in sorted(held[a], key=lambda i: -lengths[i]):
             n, tries = lengths[x], 0
             length = pool.longest(min(limit, n + gap), n + 1)
-            while length and tries < 4:
+            while length and tries < SEARCH_ONES:
                 if got := pick(length, a, length - n):
                     shift(got[1], got[0], a)
                     shift(x, a, got[0])
@@ -262,7 +278,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int =
                 length, tries = pool.longest(length - 1, n + 1), tries + 1
             # Two of one other bin for one: their sum within (n, n + gap].
             tries, length = 0, pool.longest(min(limit, n + gap - 1), 1)
-            while length and tries < 8:
+            while length and tries < SEARCH_TWOS:
                 if got := pick(length, a, 1):
                     k, y = got
                     rest = sorted((lengths[z], z) for z in held[k] if z != y)
@@ -275,8 +291,8 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int =
                 length, tries = pool.longest(length - 1, 1), tries + 1
         return False
 
-    idle = 0
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         order: list[tuple[int, int]] = []
         for k in active:
             if held[k] and fill[k] < limit:
@@ -288,8 +304,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int, rounds: int =
             if fill[k] == limit:
                 retire(k)
         active = [k for k in active if held[k] and fill[k] < limit]
-        idle = 0 if moved else idle + 1
-        if idle or len(active) < 2 or sum(limit - fill[k] for k in active) < limit:
+        if len(active) < 2 or sum(limit - fill[k] for k in active) < limit:
             break
     return [sorted(b) for b in held if b]
 
@@ -328,6 +343,6 @@ def pack(cut_pieces: DataFrame, limit: int = SEQUENCE_TOKENS, task_pieces: int =
     return dealt.mapInArrow(lambda it: _pack_batches(it, limit), f"{fields}, sequence_id long, offset long")
 
 
-def packed_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = SEQUENCE_TOKENS, keep_ids: bool = False) -> DataFrame:
+def packed_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = SEQUENCE_TOKENS, keep_ids: bool = False, copies: bool = False) -> DataFrame:
     """All documents, cut and packed: one row per piece with its place."""
-    return pack(pieces(docs, id_col, text_col, tokenizer, limit, keep_ids), limit)
+    return pack(pieces(docs, id_col, text_col, tokenizer, limit, keep_ids, copies), limit)

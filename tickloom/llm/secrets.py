@@ -7,11 +7,13 @@ certain to be outside: where O beats both other tags by more than any two transi
 best path passes through O, so only the stretches between such words are decoded, with the same result.
 
 The weights are learned here, from words labelled by the fixed patterns in a sample of about ``SAMPLE_DOCS``
-documents drawn by a hash of the id, and in generated lines that hold secrets of other forms. That sample is
-the only bound; every whole text is scanned.
+documents drawn by a hash of the id, and in generated lines that hold secrets of other forms. Of a sampled text
+the windows that hold a match teach, and ``WINDOWS`` more that lie evenly over the whole text, ``MOST_WINDOWS`` in
+all at most. That sample is the only bound; every whole text is scanned.
 
-Defined cases: a null text is empty and has no spans; repeated rows are scanned alike; an empty table gives
-an empty result. Spans are in code points, end exclusive.
+Defined cases: a null text is empty and has no spans; a null doc_id stays null; repeated rows are scanned alike;
+very long texts are scanned whole; other columns, clashing or not, aren't looked at; an empty table gives an empty
+result. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held, prepare, renamed
+from tickloom.llm.common import batches_of, held, prepare, renamed
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The patterns of the base.
@@ -46,12 +48,14 @@ SAMPLE_DOCS = 600
 #: The sample is drawn from a pool of about so many times its size.
 POOL = 10
 SAMPLE_SEED = 11
+#: Words of a training window, windows that each sampled text gives besides those with a match, and in all.
+WINDOW_WORDS, WINDOWS, MOST_WINDOWS = 60, 2, 20
 GENERATED = 400
 EPOCHS = 6
 RATE = 0.2
 DECAY = 1e-4
 TAGS = 3  # O, B, I
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,6 +74,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+#: Characters that what a base span leaves of a word must have to be a span.
+LEAST_REST = 4
 _TRIM = " \t\"'`,;()[]{}<>#*$%&|!?."
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _NAME = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login|private", re.ASCII | re.IGNORECASE)
@@ -317,6 +323,24 @@ def marginals(e: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return node, edge
 
 
+def training_windows(text: str) -> list[tuple[list[str], list[int], int]]:
+    """Windows of a text to learn from, with its file bucket: all that hold a match, and some evenly spread."""
+    words, y = labels(text)
+    starts = list(range(0, len(words), WINDOW_WORDS))
+    found = [s for s in starts if any(y[s : s + WINDOW_WORDS])]
+    found = found[:: -(-len(found) // (MOST_WINDOWS - WINDOWS))] if found else found
+    spread = {starts[(2 * k + 1) * len(starts) // (2 * WINDOWS)] for k in range(WINDOWS)} if starts else set()
+    bucket = file_bucket(text)
+    return [(words[s : s + WINDOW_WORDS], y[s : s + WINDOW_WORDS], bucket) for s in sorted({*found, *spread})]
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches_of(batches):
+        rows = [w for text in b.column(0).to_pylist() for w in training_windows(text)]
+        cols = list(zip(*rows)) if rows else [(), (), ()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32()))], names=["words", "tags", "bucket"])
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tagger:
     """``docs`` has ``doc_id, text``. About half the sample are texts that name or hold a secret."""
     texts = docs.filter(F.col("text").isNotNull())
@@ -327,21 +351,29 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tagger:
     hint = low.contains("akia")
     for k in KEYWORDS:
         hint = hint | low.contains(k)
-    some = pool.filter(hint).orderBy(order, "doc_id").limit(sample_docs // 2).select("text")
-    rest = pool.filter(~hint).orderBy(order, "doc_id").limit(sample_docs - sample_docs // 2).select("text")
-    rows = [r["text"] for r in some.unionAll(rest).collect()]  # at most sample_docs rows
-    samples = []
-    for text in rows:
-        words, y = labels(text)
-        for s in range(0, len(words), 60):
-            if any(y[s : s + 60]) or s == 0:
-                samples.append((words[s : s + 60], y[s : s + 60], file_bucket(text)))
+    some = pool.filter(hint).orderBy(order, "doc_id", "text").limit(sample_docs // 2).select("text")
+    rest = pool.filter(~hint).orderBy(order, "doc_id", "text").limit(sample_docs - sample_docs // 2).select("text")
+    windows = some.unionAll(rest).mapInArrow(_window_batches, "words array<string>, tags array<int>, bucket int")
+    # At most sample_docs * MOST_WINDOWS windows, whatever the texts.
+    samples = sorted((r["words"], r["tags"], r["bucket"]) for r in windows.collect())
     samples += [(w, y, k % 4) for k, (w, y) in enumerate(generated(GENERATED))]
     return train(samples)
 
 
+def _without(s: int, e: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the base's spans leave of a stretch."""
+    for bs, _, be in base:
+        if bs < e and s < be:
+            if s < bs:
+                yield s, bs
+            s = max(s, be)
+    if s < e:
+        yield s, e
+
+
 def added_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Secrets that the field tags, without those that touch a span of the base."""
+    """Secrets that the field tags, without what the spans of the base hold of them already, and without signs at
+    their ends. What is left of a word beside a base span counts from ``LEAST_REST`` characters on."""
     words = text.split()
     if not words:
         return []
@@ -360,11 +392,14 @@ def added_spans(text: str, tagger: Tagger, base: list[tuple[int, int, int]]) ->
             run[-1] = (run[-1][0], at, h)
         else:
             run.append((start, at, h))
-    for s, e, _ in run:
-        body = text[s:e]
-        s, e = s + len(body) - len(body.lstrip(_TRIM)), e - (len(body) - len(body.rstrip(_TRIM)))
-        if s < e and all(e <= bs or be <= s for bs, _, be in base):
-            out.append((s, 3, e))
+    for first, last, _ in run:
+        for s, e in _without(first, last, base):
+            body = text[s:e]
+            if (s, e) != (first, last) and len(body.strip(_TRIM)) < LEAST_REST:
+                continue
+            s, e = s + len(body) - len(body.lstrip(_TRIM)), e - (len(body) - len(body.rstrip(_TRIM)))
+            if s < e:
+                out.append((s, 3, e))
     return out
 
 
@@ -390,7 +425,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sent, name = spark.sparkContext.broadcast((tagger.weights, tagger.pairs)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches):
             own, rows = _tagger(name, sent), []
             for text in b.column(1).to_pylist():
                 base, spans = scan(text, own)
@@ -412,7 +447,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches):
             own, out = _tagger(name, sent), []
             for text in b.column(at).to_pylist():
                 if text:

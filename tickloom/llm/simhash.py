@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, prepare, renamed
+from tickloom.llm.common import batches_of, cut, held, prepare, renamed
 from tickloom.llm.components import component_labels
 
 SHINGLE_WORDS = 3
@@ -51,7 +51,8 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    held("simhash", dict)  # what another operator left in this worker goes
+    for b in batches_of(batches):
         prints = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.record_batch([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
