@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, one operator a stage.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last return
-the columns of ``documents``; the last returns a row per packed piece.
+the columns of ``documents``; the last returns a row per packed piece, with its token ids. ``copy`` tells apart the
+copies of a document that the mix takes, whole and cut ones, so (``copy``, ``piece``) names a piece.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return packing.packed_sequences(docs)
+    """Pieces of all documents and copies, with their token ids and places in sequences."""
+    return packing.packed_sequences(docs, keep_ids=True, copies=True)
 
 
 STAGES = [
