@@ -24,7 +24,7 @@ T = TypeVar("T")
 
 
 #: What one Arrow batch of texts may hold, in rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Seconds after which a Python worker that does nothing forgets what it held.
 IDLE_SECONDS = 5.0
 

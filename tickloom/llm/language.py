@@ -41,7 +41,7 @@ SMOOTHING = 0.1
 UNKNOWN = math.exp(-18)
 MARK = "▁"
 #: Words whose scores a worker keeps; others are scored anew.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 200_000
 #: Words of up to so many characters, mark included, go through the forward algorithm many at once; longer ones
 #: one by one in logarithms, to the same end.
 CACHED_LENGTH = 40

@@ -33,7 +33,7 @@ SEQUENCE_TOKENS = 2048
 #: Pieces that one packing task holds at most, about; the loss is under one bin a task.
 TASK_PIECES = 50_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 40
 #: Units that one call of the tokenizer takes.
 UNITS = 4096
