@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tickloom.plans import queries
+from tickloom.plans import checks, queries  # noqa: F401
 from tickloom.sources.tables import NAMES
 
 

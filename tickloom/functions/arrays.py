@@ -111,6 +111,13 @@ def first_middle_last(n: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), (n - 1).cast("int"))))
 
 
+def every_third_and_last(n: Column | str, step: int = 3) -> Column:
+    """Places of the grid of ``n`` rows, and the last one where it is off the grid; no places for no rows."""
+    n = _col(n).cast("long")
+    grid = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long"))
+    return F.when(n > 0, F.array_union(grid, F.array(n - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
 def spread(n: Column | str, k: int) -> Column:
     """``k`` places of ``n``, evenly spaced, both ends included; all places where there are fewer."""
     n = _col(n)

@@ -121,6 +121,16 @@ def names_found(c: Column | str, names: dict[str, str], aliases: dict[str, str])
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(_col(c), r"\+"), one))))
 
 
+def stage_code(c: Column | str) -> Column:
+    """The code in brackets that ends a file's stem, in upper case; null where there is none."""
+    return F.nullif(F.upper(F.regexp_extract(_col(c), r"\(([A-Za-z0-9]+)\)\s*(?:\.[^./]*)?$", 1)), F.lit(""))
+
+
+def utc_stamp(c: Column | str) -> Column:
+    """A time as ISO 8601 text in UTC with milliseconds; a time without a zone is taken as UTC."""
+    return F.concat(F.date_format(_col(c).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
 def transient(message: Column | str) -> Column:
     """Whether an error text tells of a passing failure: a timeout, a reset, or a status that may pass."""
     return F.coalesce(F.lower(_col(message)).rlike(r"timeout|timed out|temporar|connection (reset|refused|aborted)|unavailable|too many requests|\b(408|409|425|429|500|502|503|504)\b"), F.lit(False))

@@ -67,6 +67,13 @@ def flags(rows: DataFrame, flags: dict[str, Column], *by: str) -> DataFrame:
     return grouped.agg(*[F.count_if(c).alias(name) for name, c in flags.items()])
 
 
+def offscreen_audit(rows: DataFrame, x: str, y: str, dead: str, *by: str) -> DataFrame:
+    """Ticks, ticks alive, ticks off the screen, and the share of those alive that are off it."""
+    off = bins.offscreen(x, y, dead)
+    alive = F.count_if(~F.col(dead))
+    return rows.groupBy(*by).agg(F.count("*").alias("ticks"), alive.alias("alive"), F.count_if(off).alias("offscreen"), (F.count_if(off) / F.greatest(F.lit(1), alive)).alias("share"))
+
+
 def session_summary(rows: DataFrame, flag: str = "flag", session: str = "session") -> DataFrame:
     """Per session: rows, and a map of flags to counts, in order of the flag."""
     per = rows.groupBy(session, flag).agg(F.count("*").alias("_n"))

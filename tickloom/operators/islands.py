@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.sets import numbered
+
 #: Whether a missing tick ends a run, or the run goes on to the next tick there is.
 GAP_POLICIES = ("break", "extend")
 
@@ -43,6 +45,24 @@ def value_runs(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, l
     return found.drop("_run").filter(F.col("length") >= least)
 
 
+def ranged_runs(rows: DataFrame, order: str, flag: Column, width: int = 4096) -> DataFrame:
+    """Runs over the whole table, where a missing number breaks one: ``start, end, length``. Runs are found within
+    ranges of ``width`` numbers, and those that touch over a border are joined: of each range only its runs at its
+    borders, two at most, are looked at together, so no task sees all rows."""
+    own = rows.withColumn("_range", F.floor(F.col(order) / width))
+    inner = runs(own, ("_range",), order, flag, gap_policy="break")
+    low, high = F.col("_range") * width, F.col("_range") * width + width - 1
+    edge = (F.col("start") == low) | (F.col("end") == high)
+    closed = inner.filter(~edge).select("start", "end")
+    ends = inner.filter(edge).select("start", "end")
+    # A chain of touching runs: a start that no end precedes, up to the next end that no start follows.
+    firsts = ends.join(ends.select((F.col("end") + 1).alias("start")), "start", "left_anti").select(F.col("start").alias("at"), F.lit(0).alias("kind"))
+    lasts = ends.join(ends.select((F.col("start") - 1).alias("end")), "end", "left_anti").select(F.col("end").alias("at"), F.lit(1).alias("kind"))
+    places = numbered(firsts.unionAll(lasts), "at", "kind", name="_place").withColumn("_pair", F.floor(F.col("_place") / 2))
+    joined = places.groupBy("_pair").agg(F.min("at").alias("start"), F.max("at").alias("end")).select("start", "end")
+    return closed.unionAll(joined).withColumn("length", F.col("end") - F.col("start") + 1)
+
+
 def joint(rows: DataFrame, keys: tuple[str, ...], order: str, flag: Column, actors: int | None = None) -> DataFrame:
     """One row per tick with ``all_hold``: whether the flag holds for every actor there (and all are there)."""
     held = F.bool_and(F.coalesce(flag, F.lit(False)))

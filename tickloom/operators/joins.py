@@ -55,7 +55,8 @@ def pending(jobs: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
 
 
 def opponents(ticks: DataFrame, tick: list[str], actor: str, columns: list[str]) -> DataFrame:
-    """Each actor's row with an ordered array of the others at its tick."""
+    """Each actor's row with an ordered array of the others at its tick. A tick holds the few actors of one game;
+    the array grows with their number, so it isn't for keys that many rows share."""
     one = F.struct(actor, *columns)
     others = F.filter(F.collect_list(one).over(Window.partitionBy(*tick)), lambda o: o[actor] != F.col(actor))
     return ticks.withColumn("opponents", F.array_sort(others))
@@ -74,11 +75,13 @@ def in_intervals(ticks: DataFrame, intervals: DataFrame, key: str, at: str, star
     Both sides are cut into cells of ``cell`` ticks, so the join is on (key, cell) and a range test remains.
     """
     rest = [c for c in intervals.columns if c not in (key, start, end)]
+    group = list(ticks.columns)
+    own = ticks.groupBy(*group).agg(F.count("*").alias("_copies"))  # equal ticks meet the intervals once
     cells = F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))).alias("_cell")
     spans = intervals.filter(F.col(start) <= F.col(end)).select(key, start, end, *rest, cells)
-    found = ticks.withColumn("_cell", F.floor(F.col(at) / cell)).join(spans, [key, "_cell"]).filter(F.col(at).between(F.col(start), F.col(end)))
-    group = [c for c in ticks.columns]
-    return found.groupBy(*group).agg(F.max_by(F.struct(*rest), ordinal).alias("_r")).select(*group, *[F.col("_r")[c].alias(c) for c in rest])
+    found = own.withColumn("_cell", F.floor(F.col(at) / cell)).join(spans, [key, "_cell"]).filter(F.col(at).between(F.col(start), F.col(end)))
+    last = found.groupBy(*group, "_copies").agg(F.max_by(F.struct(*rest), ordinal).alias("_r"))
+    return last.select(*group, *[F.col("_r")[c].alias(c) for c in rest], F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def clip_actions(clips: DataFrame, actions: DataFrame, key: str = "session", first: str = "first_source", last: str = "last_source", frame: str = "frame", actors: int = 2) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.sets import running
+
 
 def intervals(steps: DataFrame, value: str, width: int, step: str = "step", keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean, population deviation, least and greatest value per interval of ``width`` steps."""
@@ -67,8 +69,7 @@ def seen_samples(rows: DataFrame, sample: str, step: str = "step", total: int |
     """Per step, how many samples were first met by then, and the share of all."""
     first = rows.groupBy(sample).agg(F.min(step).alias(step)).groupBy(step).agg(F.count("*").alias("new"))
     steps = rows.select(step).distinct().join(first, step, "left").fillna(0, ["new"])
-    seen = F.sum("new").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
-    out = steps.withColumn("seen", seen)
+    out = running(steps, [step], "_before", "new").withColumn("seen", F.col("_before") + F.col("new")).drop("_before")
     return out if total is None else out.withColumn("share", F.col("seen") / F.lit(float(total)))
 
 

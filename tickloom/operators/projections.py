@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import finite_or_null
+from tickloom.functions.text import stage_code
 
 #: Numeric fields of the state before and after a tick's update, and of the input.
 PRE = ("position_x", "position_y", "facing", "stick_x", "stick_y", "cstick_x", "cstick_y", "trigger", "percent")
@@ -61,19 +62,28 @@ def first_frame_sample(rows: DataFrame, frame: int = 0) -> DataFrame:
     return there.select("session", "player", "post.position_x", "post.position_y", "post.state", "pre.stick_x", "pre.stick_y").orderBy("session", "player")
 
 
-def metadata_rows(paths: DataFrame, path: str = "path", target: str = "target") -> DataFrame:
-    """What a path tells of a file: its folder, name, stem and suffix, and where it goes."""
+def metadata_rows(paths: DataFrame, path: str = "path", target: str = "target", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What a path tells of a file: its folder, name, stem, suffix and stage code, and where it goes."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     return paths.select(
+        *keep,
         F.col(path).alias("source_path"),
         F.col(target).alias("target_path"),
         F.nullif(F.regexp_extract(path, r"^([^/]+)/", 1), F.lit("")).alias("folder"),
         name.alias("name"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
         F.lower(F.nullif(F.regexp_extract(name, r"(\.[^.]*)$", 1), F.lit(""))).alias("suffix"),
+        stage_code(path).alias("stage"),
     )
 
 
+def in_corpus(stage: Column | str, characters: Column | str, want_stage: str, want: list[str]) -> Column:
+    """The corpus filter: the wanted stage, and any of the wanted characters among those of the file."""
+    s = F.col(stage) if isinstance(stage, str) else stage
+    c = F.col(characters) if isinstance(characters, str) else characters
+    return F.coalesce((s == want_stage) & F.arrays_overlap(c, F.array(*map(F.lit, want))), F.lit(False))
+
+
 def checked_contract(rows: DataFrame, **expected) -> DataFrame:
     """The rows themselves; one whose columns differ from the expected values raises."""
     test = F.lit(True)

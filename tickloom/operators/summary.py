@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.numbers import is_finite
+
 
 def nearest_rank(column: str, share: float) -> Column:
     """The value at rank ``ceil(n * share)``, the least one for shares of 0 and below; null for no values."""
@@ -124,9 +126,10 @@ def checksum(rows: DataFrame, expression: Column, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(expression).alias("checksum"))
 
 
-def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """``errors``: the names of the rules that a row breaks, in order; a rule that is null isn't broken."""
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sorted(rules.items())]))
+def violations(rows: DataFrame, rules: dict[str, Column], ordered: bool = False) -> DataFrame:
+    """``errors``: the names of the rules that a row breaks, by name or, if ``ordered``, in the rules' own order; a
+    rule that is null isn't broken."""
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (rules.items() if ordered else sorted(rules.items()))]))
     return rows.withColumn("errors", broken)
 
 
@@ -134,8 +137,8 @@ def file_rules(max_seconds: float) -> dict[str, Column]:
     """What a batch report's file entry must satisfy; each rule says what breaks it."""
     c = F.col
     return {
-        "no-timing": c("seconds").isNull() | F.isnan("seconds"),
-        "too-slow": c("seconds") > max_seconds,
+        "no-timing": ~is_finite("seconds"),
+        "too-slow": is_finite("seconds") & (c("seconds") > max_seconds),
         "no-rows": c("row_count") <= 0,
         "no-frames": c("frame_entries") <= 0,
         "size-mismatch": c("binary_bytes") != c("row_count") * c("record_bytes"),
@@ -145,6 +148,17 @@ def file_rules(max_seconds: float) -> dict[str, Column]:
     }
 
 
+def report_rules(least_runs: int, max_seconds: float, record_bytes: int) -> dict[str, Column]:
+    """What a batch report as a whole must satisfy: ``failures``, ``runs``, ``slowest`` and ``record_bytes``."""
+    c = F.col
+    return {
+        "failures": c("failures") != 0,
+        "run-count": c("runs") < least_runs,
+        "runs-over-limit": c("slowest") > max_seconds,
+        "unknown-record-size": c("record_bytes").isNull() | (c("record_bytes") != record_bytes),
+    }
+
+
 def equal_counts(**tables: DataFrame) -> DataFrame:
     """The row counts of several tables and whether they agree."""
     found = None

@@ -44,6 +44,13 @@ def reconciled(staged: DataFrame, jobs: DataFrame, done: DataFrame, on: str = "i
     return out.withColumn("verdict", verdict).drop("_job", "_done", *[f"_{c}" for c in agree])
 
 
+def resumed(jobs: DataFrame, events: DataFrame, on: str, at: str, settled: tuple[str, ...]) -> DataFrame:
+    """Jobs with the last status that the event log has of them, and ``seeded``: whether that settles them, so that
+    a run that goes on leaves them out."""
+    last = events.groupBy(on).agg(F.max_by("status", at).alias("status"))
+    return jobs.join(last, on, "left").withColumn("seeded", F.coalesce(F.col("status").isin(*settled), F.lit(False)))
+
+
 def flush_due(pending: DataFrame, batch: int, lanes: int, terminal: bool, age_seconds: float = 300, at: str = "ready_at", now=None) -> bool:
     """Whether to flush: a batch is full, all lanes can have a row, the input has ended, or a row is old."""
     now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")

@@ -183,8 +183,8 @@ def flag_runs(spark, d):
 )
 def joint_runs(spark, d):
     t = _ticks(spark, d).withColumn("hour", F.timestamp_diff("HOUR", F.to_timestamp_ntz(F.lit("2000-01-01 00:00:00")), F.col("ts")).cast("long"))
-    held = islands.joint(t, (), "hour", F.col("x") > 10).withColumn("all", F.lit(1))
-    return islands.runs(held, ("all",), "hour", F.col("all_hold"), gap_policy="break").select("start", "end", "length")
+    held = islands.joint(t, (), "hour", F.col("x") > 10)
+    return islands.ranged_runs(held, "hour", F.col("all_hold"), 24).select("start", "end", "length")
 
 
 @query(f"WITH {T}, p AS (SELECT *, lag(x) OVER (PARTITION BY session ORDER BY idx) AS before FROM t) SELECT session, idx, before, x FROM p WHERE x > before AND mask % 2 = 1")
@@ -467,14 +467,14 @@ def player_ranking(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT o_custkey, count(*) AS stocks FROM orders GROUP BY 1), p AS (SELECT c_nationkey AS session, c_mktsegment AS team, stocks FROM customer LEFT JOIN o ON c_custkey = o_custkey WHERE c_custkey % 50 < 20),
+    """WITH o AS (SELECT o_custkey, count(*) AS stocks FROM orders GROUP BY 1), p AS (SELECT c_nationkey AS session, c_mktsegment AS team, stocks FROM customer LEFT JOIN o ON c_custkey = o_custkey),
     g AS (SELECT session, team, sum(stocks) AS s, bool_or(stocks IS NULL) AS u FROM p GROUP BY ALL),
     r AS (SELECT *, row_number() OVER w AS rn, lead(s) OVER w AS nxt, bool_or(u) OVER (PARTITION BY session) AS unsure FROM g WINDOW w AS (PARTITION BY session ORDER BY s DESC NULLS LAST, team))
     SELECT session, CASE WHEN NOT unsure AND NOT coalesce(nxt = s, false) THEN team END AS winner FROM r WHERE rn = 1"""
 )
 def team_winners(spark, d):
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("stocks"))
-    people = table(spark, d, "customer").filter("c_custkey % 50 < 20").join(n, "c_custkey", "left")
+    people = table(spark, d, "customer").join(n, "c_custkey", "left")
     return summary.team_winner(people.select(F.col("c_nationkey").alias("session"), F.col("c_mktsegment").alias("team"), "stocks"))
 
 
@@ -841,12 +841,12 @@ def reference_parts(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(lower(left(text, 40)), '[a-z]{6,}'), regexp_extract_all(lower(right(text, 40)), '[a-z]{6,}')))) AS a FROM documents)
+    """WITH s AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '[a-z]{6,}'), regexp_extract_all(lower(source || ' ' || coalesce(lang, '')), '[a-z]{2,}')))) AS a FROM documents)
     SELECT doc_id, array_to_string(a, ',') AS words FROM s"""
 )
 def char_union(spark, d):
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z]{6,})"), F.lit(1))
-    both = F.array_sort(F.array_union(words(F.substring("text", 1, 40)), words(F.right("text", F.lit(40)))))
+    words = lambda c, n: F.regexp_extract_all(F.lower(c), F.lit(f"([a-z]{{{n},}})"), F.lit(1))
+    both = F.array_sort(F.array_union(words(F.col("text"), 6), words(F.concat_ws(" ", "source", "lang"), 2)))
     return table(spark, d, "documents").select("doc_id", F.array_join(both, ",").alias("words"))
 
 

@@ -64,6 +64,18 @@ def steps_per_epoch(clips: int, batch: int) -> tuple[int, int]:
     return clips // batch, clips % batch
 
 
+def steps_per_epoch_of(clips: Column | str, batch: int) -> tuple[Column, Column]:
+    """The same for a column."""
+    c = F.col(clips) if isinstance(clips, str) else clips
+    return F.floor(c / batch), F.pmod(c, F.lit(batch))
+
+
+def lane_batch_of(remaining: Column | str, lanes: int, most: int = 100) -> Column:
+    """:func:`lane_batch` for a column."""
+    c = F.col(remaining) if isinstance(remaining, str) else remaining
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(c / lanes))).cast("long")
+
+
 def lane_batch(remaining: int, lanes: int, most: int = 100) -> int:
     return min(most, max(1, math.ceil(remaining / lanes)))
 
