@@ -50,7 +50,8 @@ class HadoopStorage:
             stream.close()
 
     def publish(self, path: str, data: bytes) -> str:
-        """Write under a partial name, rename, and return the content's SHA-256: readers see all or nothing."""
+        """Write under a partial name, rename over what was there, and return the content's SHA-256: readers see
+        the old content or the new, never a part and never nothing, where the file system renames in one step."""
         fs, at = self._at(path)
         _, partial = self._at(f"{path}.partial")
         fs.mkdirs(at.getParent())
@@ -59,9 +60,11 @@ class HadoopStorage:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        fs.delete(at, False)
-        if not fs.rename(partial, at):
-            raise OSError(f"could not publish {path}")
+        options = self.jvm.org.apache.hadoop.fs.Options
+        over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        self.jvm.java.lang.reflect.Array.set(over, 0, getattr(options, "Rename").OVERWRITE)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), self.conf)
+        context.rename(fs.makeQualified(partial), fs.makeQualified(at), over)
         return hashlib.sha256(data).hexdigest()
 
     def wait_for(self, path: str, size: int, digest: str, timeout: float = 120, pause: float = 1.0) -> None:
