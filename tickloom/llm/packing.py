@@ -43,7 +43,7 @@ PUNCTUATION = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Width of one step of the local search: items of one length that are looked at, and lengths that are tried for
 #: an exchange of one for one and of two for one. A step that finds nothing so narrow isn't made; the search goes
-#: on until no step is left. At sf0.1 (10,000 documents) no sequence more than the least possible number is needed.
+#: on until no step is left. At sf0.001 a test asserts that one sequence more than the least possible is enough.
 SEARCH_ITEMS, SEARCH_ONES, SEARCH_TWOS = 16, 4, 8
 
 
