@@ -48,7 +48,9 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     prepare(spark)
     stored = cut(measured(docs, id_col, text_col), "sizes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "size", "text_crc32").withColumn("part", F.spark_partition_id())
+    # Rows that agree in all are told apart by their place in the stored table, so that a repeated id, or none, splits.
+    order = ["doc_id", "size", "text_crc32", "tie"]
+    ranged = stored.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("tie").withColumn("part", F.spark_partition_id())
     fields = "doc_id long, size long, text_crc32 long, part int, before long, at long"
     summed = cut(ranged.mapInArrow(_running, fields), "prefixes")
     totals = summed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("part").collect()
