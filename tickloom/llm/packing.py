@@ -32,6 +32,8 @@ SEPARATOR = 0
 SEQUENCE_TOKENS = 2048
 #: Pieces that one packing task holds at most, about; the loss is under one bin a task.
 TASK_PIECES = 50_000
+#: Tokens whose ids one packing task holds at most, about, where pieces carry their ids.
+TASK_TOKENS = 8_000_000
 #: Words whose ids a worker keeps; further words are encoded anew for each batch.
 CACHED_WORDS = 250_000
 CACHED_LENGTH = 40
@@ -324,7 +326,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
             sequence[i], offset[i] = (task << 32) + k, at
             at += lengths[i]
     table = table.drop_columns(["task"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-    yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+    yield from table.to_batches(max_chunksize=10_000)
 
 
 def _pack_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -333,11 +335,14 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
         yield from _pack_partition(iter([first, *batches]), limit)
 
 
-def pack(cut_pieces: DataFrame, limit: int = SEQUENCE_TOKENS, task_pieces: int = TASK_PIECES) -> DataFrame:
+def pack(cut_pieces: DataFrame, limit: int = SEQUENCE_TOKENS, task_pieces: int = TASK_PIECES, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """Piece rows plus ``sequence_id, offset``. Rows are dealt round-robin, so that tasks are equal and
-    bounded whatever ids repeat."""
+    bounded, in pieces and in the ids that they carry, whatever ids repeat."""
     stored = cut(cut_pieces, "pieces")
-    tasks = partitions_for(stored.count(), task_pieces)
+    size = stored.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    tasks = partitions_for(size["rows"], task_pieces)
+    if "ids" in stored.columns:
+        tasks = max(tasks, partitions_for(size["tokens"], task_tokens))
     dealt = stored.repartition(tasks).withColumn("task", F.spark_partition_id().cast("long"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
     return dealt.mapInArrow(lambda it: _pack_batches(it, limit), f"{fields}, sequence_id long, offset long")
