@@ -324,3 +324,16 @@ def test_bounds_hold():
         assert np.allclose(turn @ turn.T, np.eye(dim))
         guess, bound = vectors.estimate(q, turn, *vectors.encode(v, turn))
         assert (np.abs(guess - q @ v.T) <= bound).mean() > 0.98
+
+
+def test_packing_tasks_bounded_by_tokens(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i % 40)) for i in range(60)], "doc_id long, text string")
+    cut_pieces = packing.pieces(docs, keep_ids=True)
+    rows = packing.pack(cut_pieces, task_tokens=300).collect()
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 1
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in rows) == sorted((r["doc_id"], bytes(r["ids"])) for r in cut_pieces.collect())
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= packing.SEQUENCE_TOKENS
