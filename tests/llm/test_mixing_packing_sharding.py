@@ -301,6 +301,7 @@ def test_vector_query(spark, sf):
 def test_vectors_with_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
     monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    monkeypatch.setattr(vectors, "RUN_BLOCKS", 2)
     rng = np.random.default_rng(2)
     common = rng.normal(size=40).tolist()
     rows = [(i, common if i % 3 == 0 else (rng.normal(size=40) * rng.uniform(0.1, 5)).tolist()) for i in range(300)]
