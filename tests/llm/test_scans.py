@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -151,6 +152,50 @@ def test_licenses():
         assert licenses.matches(text, index) == []
 
 
+def plain_align(template, words, low, high):
+    """The same alignment cell by cell: (matches, first, last)."""
+    cells, best = {}, (0, 0, 0, 0)
+    nothing = (0, 0, -1)
+    for t, want in enumerate(template):
+        for d in range(low, high + 1):
+            at = t + d
+            if not 0 <= at < len(words):
+                continue
+            score, hits, first = cells.get((t - 1, d), nothing)
+            hit = words[at] == want
+            paths = [(score + (licenses.MATCH if hit else licenses.MISMATCH), hits + hit, at if first < 0 else first)]
+            for other in ((t - 1, d + 1), (t, d - 1)):
+                score, hits, first = cells.get(other, nothing)
+                paths.append((score + licenses.GAP, hits, first))
+            top = max(paths, key=lambda x: x[0])
+            cells[t, d] = top if top[0] > 0 else nothing
+            if hit and top[0] > best[0]:
+                best = (*top, at)
+    return tuple(map(int, best[1:]))
+
+
+def test_alignment_against_plain_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        template, words = (rng.integers(1, rng.integers(3, 9), rng.integers(1, n)) for n in (15, 40))
+        low = int(rng.integers(-12, 20))
+        high = low + int(rng.integers(0, 25))
+        assert licenses.align(template, words, low, high) == plain_align(template, words, low, high)
+
+
+def test_licenses_side_by_side_and_repeated_phrases():
+    index, t = licenses.Index(licenses.TEMPLATES), licenses.TEMPLATES
+    for name in ("mit-text", "gpl-3.0-notice", "isc", "mit"):
+        text = " ".join([t[name]] * 4)
+        found = [m for m in licenses.matches(text, index) if m[0] == name]
+        assert len(found) == 4 and all(m[1] == 1.0 for m in found) and all(a[4] <= b[3] for a, b in zip(found, found[1:]))
+    assert {m[0] for m in licenses.matches(t["gpl-3.0-notice"], index)} == {"gpl-3.0-notice"}
+    assert {m[0] for m in licenses.matches(t["lgpl-2.1-notice"], index)} == {"lgpl-2.1-notice"}
+    begun = time.monotonic()
+    assert licenses.matches("to deal in the software without restriction " * 20_000, index) == []
+    assert time.monotonic() - begun < 20
+
+
 def test_winnowing_covers_every_window():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 50):
@@ -169,6 +214,23 @@ def test_license_query(spark, sf):
     assert got == +want
 
 
+def test_license_query_against_alignment_of_all_texts(spark):
+    """No index and no candidates: every template is aligned with every whole text, over all diagonals."""
+    small = "/root/testdata/sf0.001"
+    index, got, want = licenses.Index(licenses.TEMPLATES), {}, {}
+    for r in queries.op10_licenses(spark, small).collect():
+        got.setdefault(r.doc_id, {}).setdefault(r.license, []).append(r.coverage)
+    for r in table(spark, small, "documents").collect():
+        numbers = index.numbers((r.text or "").split())
+        ids = numbers[numbers >= 0]
+        for name, template, own in zip(index.names, index.words, index.counts):
+            if len(ids) and np.minimum(np.bincount(ids, minlength=len(own)), own).sum() >= 0.8 * len(template):
+                share = licenses.align(template, ids, -len(template), len(ids))[0] / len(template)
+                if share >= licenses.LEAST_COVERAGE:
+                    want.setdefault(r.doc_id, {})[name] = share
+    assert want and {d: {k: max(v) for k, v in m.items()} for d, m in got.items()} == want
+
+
 def test_license_odd_tables(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "c"), (1, "Released under the MIT License.", "c"), (None, None, None)], "doc_id long, text string, license string")
     assert [r.license for r in licenses.scanned(df).collect()] == ["mit", "mit"]
