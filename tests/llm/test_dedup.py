@@ -98,6 +98,17 @@ def test_odd_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicated(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(3))
+    rows = [(3, a, "x", 1), (5, b, "x", 2), (5, a, "x", 3), (5, c, "x", 4), (5, c, "x", 5), (5, c, None, 5), (9, c, "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _kept_id int")
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted((r[0], r[1]) for r in kept.collect())
+    assert got == sorted([(3, a), (5, b), (5, c)])
+
+
 def brute_repeats(docs, least=50):
     where = defaultdict(set)
     words = {i: (t or "").encode().lower().split() for i, t in docs}

@@ -20,7 +20,7 @@ from operator import and_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import batches_of, cut, held, prepare, renamed
@@ -51,17 +51,24 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the first column, gives way to its fingerprint; all others go through."""
     held("simhash", dict)  # what another operator left in this worker goes
     for b in batches_of(batches):
-        prints = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+        yield pa.record_batch([pa.array(prints), *b.columns[1:]], names=["fp", *b.schema.names[1:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` with fp the fingerprint as a signed long, one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``(fp, doc_id)`` with fp the fingerprint as a signed long, one row per row of ``docs``; if ``keyed``, with
+    ``key``, a hash of the text that tells apart rows of one doc_id."""
     prepare(docs.sparkSession)
     kept = renamed(docs, doc_id=id_col, text=text_col)
-    return kept.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    key = [_key("text").alias("key")] if keyed else []
+    return kept.select("text", F.col("doc_id").cast("long"), *key).mapInArrow(_fingerprint_batches, "fp long, doc_id long" + ", key long" * keyed)
+
+
+def _key(text: str | Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _half_space(radius: int) -> list[tuple[int, ...]]:
@@ -154,25 +161,34 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return rows.repartition(n, "run").sortWithinPartitions("run").mapInArrow(lambda it: _tile_runs(it, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row per document, component_id its component's smallest doc_id."""
-    prints = cut(fingerprints(docs, id_col, text_col), "simhash")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, radius: int, keyed: bool) -> DataFrame:
+    """The rows of ``fingerprints`` with the root of their component and its smallest doc_id."""
+    prints = cut(fingerprints(docs, id_col, text_col, keyed), "simhash")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     labels = component_labels(links(nodes.select("fp"), radius))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, fp, component_id)``: one row per document, component_id its component's smallest doc_id."""
+    return _labelled(docs, id_col, text_col, radius, False).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
 
-    Of rows that repeat a doc_id the first by content stays. Rows without a doc_id can't stand for others:
-    of those that are equal in all columns one stays.
+    Rows that repeat a doc_id drop each other only inside one component: of its rows of the smallest doc_id one text
+    stays, and of rows equal in both the first by content. Rows without a doc_id can't stand for others: of those that
+    are equal in all columns one stays.
     """
-    kept = near_duplicates(docs, radius=radius).filter("doc_id = component_id").select("doc_id").distinct()
-    others = [F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"]
-    order = Window.partitionBy("doc_id").orderBy(*others)
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL").distinct())
+    found = _labelled(docs, "doc_id", "text", radius, True).filter("doc_id = component_id")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_r")).select("_r.doc_id", "_r.key")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+    same = (docs["doc_id"].cast("long") == kept["_kept_id"]) & (_key(docs["text"]) == kept["_kept_key"])
+    rows = docs.join(kept, same, "left_semi")
+    # An aggregate, not a window: rows of one id and text are combined before the shuffle, however many they are.
+    least = rows.groupBy("doc_id", _key("text").alias("_key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    named = least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return named.unionByName(docs.filter("doc_id IS NULL").distinct())
